@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from regulonspark.llm import language_id, line_dedup, mixing, packing, simhash
 from regulonspark.llm.work import written
 
-#: Words of a shingle in the near-dedup stage.
-SHINGLE = 5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; models are fitted on a bounded sample of ``docs``."""
@@ -29,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id."""
-    return simhash.keep_first(docs, k=SHINGLE)
+    return simhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
