@@ -6,7 +6,7 @@ A line is removed if any earlier line (smaller doc_id, then smaller line
 number) matches it; of each group of equal lines the first is compared.
 
 1. Rarity: word counts are added up in a fixed number of hashed counters, and
-   kept as one byte each in a session variable of fixed size. The order of
+   kept as levels (4 per power of two) in a session variable of fixed size. The order of
    tokens is (counter, hash), a total order in which rare words come first.
 2. Every distinct line gives the rarest n - ceil(4n/5) + 1 of its n tokens.
    A semi-join on those tokens keeps the lines that some other line agrees
@@ -62,9 +62,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"), F.hash("line", F.lit(7)).alias("b"))
 
 
+def _spaced(text, blanks: str):
+    """``text`` with a space for each other blank."""
+    for c in blanks:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def _hashed_words(text):
     """Hashes of a text's words; that of the empty string where blanks meet."""
-    return F.transform(F.split(F.translate(F.lower(text), _BLANKS, " " * len(_BLANKS)), " "), lambda w: F.xxhash64(w))
+    return F.transform(F.split(F.lower(_spaced(text, _BLANKS)), " "), lambda w: F.xxhash64(w))
 
 
 def _dense(rows: DataFrame, size: int, at: str, value, zero, width: int = 1 << 10) -> DataFrame:
@@ -78,18 +85,18 @@ def _dense(rows: DataFrame, size: int, at: str, value, zero, width: int = 1 << 1
 
 
 def _rarity(docs: DataFrame) -> _Variable:
-    words = docs.select(F.explode(_hashed_words(F.translate("text", "\n", " "))).alias("h")).where(F.col("h") != F.xxhash64(F.lit("")))
-    counts = words.select(F.col("h").bitwiseAND(COUNTERS - 1).alias("c")).groupBy("c").count()
-    level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1))).cast("byte")
-    return _Variable(_dense(counts, COUNTERS, "c", level, F.lit(0).cast("byte")), "ARRAY<TINYINT>")
+    words = docs.select(F.explode(F.split(F.lower(_spaced(F.col("text"), _BLANKS + "\n")), " ")).alias("w")).where("w <> ''")
+    counts = words.select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).alias("c")).groupBy("c").count()
+    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1))).cast("long"), 56)
+    return _Variable(_dense(counts, COUNTERS, "c", level, F.lit(0).cast("long")), "ARRAY<BIGINT>")
 
 
 def _tokens(lines: DataFrame, rarity: _Variable) -> DataFrame:
-    """``lines`` with p: the hashes of the line's distinct words, rarest first; lines without words are left out."""
+    """``lines`` with p: the hashes of the line's distinct words, rarest first. (A filter on it would compute it twice.)"""
     some = lines.withColumn("hs", F.array_remove(F.array_distinct(_hashed_words(F.col("line"))), F.xxhash64(F.lit(""))))
     ranked = F.expr(
-        f"sort_array(transform(hs, h -> shiftleft(cast(get({rarity.name}, cast(h & {COUNTERS - 1} AS int)) AS bigint), 56) | (h & {_HASH})))")
-    return some.withColumn("p", ranked).where(F.size("p") > 0)
+        f"sort_array(transform(hs, h -> get({rarity.name}, cast(h & {COUNTERS - 1} AS int)) | (h & {_HASH})))")
+    return some.withColumn("p", ranked)
 
 
 def _place(prefix: str = ""):
@@ -130,7 +137,9 @@ def _candidates(lines: DataFrame, rarity: _Variable) -> DataFrame:
         F.min_by("doc_id", _place()).alias("doc_id"), F.min_by("line_no", _place()).alias("line_no"),
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("p").alias("p"))
     rows = first.select("a", "b", "doc_id", "line_no", "n", "bits", F.posexplode("p").alias("i", "t"))
-    found = rows.alias("y").join(rows.alias("x"), (F.col("x.t") == F.col("y.t")) & _differ("x", "y") & _may_match("x", "y"), "left_semi")
+    # (a, b) tells rows apart; naming the places too gives both sides the same columns, and so one exchange for both
+    same = ~_differ("x", "y") & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.line_no") == F.col("y.line_no"))
+    found = rows.alias("y").join(rows.alias("x"), (F.col("x.t") == F.col("y.t")) & ~same & _may_match("x", "y"), "left_semi")
     return written(found, "line-candidates")
 
 
@@ -165,11 +174,17 @@ def _later_matches(lines: DataFrame, rarity: _Variable) -> DataFrame:
         met = later.alias("y").join(
             earlier.alias("x"),
             (F.col("x.t") == F.col("y.t")) & _differ("x", "y") & _earlier("x", "y") & _may_match("x", "y"))
-        return met.select("y.a", "y.b", F.col("x.a").alias("xa"), F.col("x.b").alias("xb")).distinct()
+        found = met.groupBy(F.col("y.a").alias("a"), F.col("y.b").alias("b"), F.col("x.a").alias("xa"), F.col("x.b").alias("xb"))
+        return found.agg(F.count("*").alias("shared"), F.first(F.col("y.n") + F.col("x.n")).alias("both"),
+                         F.first(F.greatest("y.n", "x.n")).alias("longer"))
 
     settled = written(_verified(pairs(rows, pivot), sets), "line-matches")
     rest = rows.join(settled, ["a", "b"], "left_anti")
-    return settled.union(_verified(pairs(rest, rows), sets))
+    # of two prefixes, the one that ends first in the token order lies within the other's range: what they share
+    # beyond their common prefix tokens is at most what that line has outside its prefix
+    outside = F.ceil(F.col("longer") * NUM / DEN) - 1
+    enough = (F.col("shared") + outside) * (NUM + DEN) >= F.col("both") * NUM
+    return settled.union(_verified(pairs(rest, rows).where(enough), sets))
 
 
 def line_matches(docs: DataFrame) -> DataFrame:
