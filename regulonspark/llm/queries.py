@@ -86,7 +86,7 @@ WITH lines AS (
   FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line,
                UNNEST(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents WHERE text IS NOT NULL)
 ), sets AS (
-  SELECT line, list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), w -> w <> '')) AS s,
+  SELECT line, list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS s,
          min((doc_id, line_no)) AS first
   FROM lines GROUP BY line
 ), words AS (
@@ -97,10 +97,10 @@ WITH lines AS (
     AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
   GROUP BY y.line, x.line, y.n, x.n
   HAVING 9 * count(*) >= 4 * (y.n + x.n)
-), similar AS (SELECT DISTINCT line FROM common),
+), alike AS (SELECT DISTINCT line FROM common),
 gone AS (
   SELECT l.doc_id, l.line_no FROM lines l JOIN sets s ON s.line = l.line
-  WHERE len(s.s) > 0 AND (s.first < (l.doc_id, l.line_no) OR l.line IN (SELECT line FROM similar))
+  WHERE len(s.s) > 0 AND (s.first < (l.doc_id, l.line_no) OR l.line IN (SELECT line FROM alike))
 ), per AS (SELECT doc_id, list_sort(list(DISTINCT line_no)) AS removed_lines FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS INTEGER) AS n_lines,
        CAST(coalesce(len(p.removed_lines), 0) AS INTEGER) AS n_removed,
@@ -130,13 +130,13 @@ FROM parts p LEFT JOIN best b ON b.host = p.host AND b.path = p.path
 
 _OP3 = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) AS dim
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) AS dim
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND c.dim = q.dim
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
