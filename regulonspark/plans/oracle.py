@@ -201,7 +201,7 @@ SELECT i AS sample, ci AS cluster, round(coalesce((b - a) / nullif(greatest(a, b
 SELECT i AS metacell, feature, round(sum(value), 6) AS count FROM k JOIN m2 ON sample = j GROUP BY i, feature""",
         "vis_net_nodes": ctes("n1", "m1") + """, v AS (SELECT DISTINCT target AS id, FALSE AS is_regulator FROM n1 WHERE target NOT IN (SELECT regulator FROM n1) UNION SELECT regulator, TRUE FROM n1),
 s AS (SELECT target, avg(mor) AS mor FROM n1 GROUP BY target), e AS (SELECT feature, avg(value) AS value FROM m1 GROUP BY feature)
-SELECT id, is_regulator, round(mor, 9) AS mor, round(CASE WHEN is_regulator THEN NULL ELSE value END, 4) AS value FROM v LEFT JOIN s ON id = s.target LEFT JOIN e ON id = e.feature""",
+SELECT id, is_regulator, round(mor, 13) AS mor, round(CASE WHEN is_regulator THEN NULL ELSE value END, 4) AS value FROM v LEFT JOIN s ON id = s.target LEFT JOIN e ON id = e.feature""",
         "group_summary": ctes("m2") + " SELECT cluster, feature AS variable, round(avg(value), 6) AS mean, round(avg(CASE WHEN value > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS fraction, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM m2 GROUP BY cluster, feature",
         "normalized_expression": ctes("m1") + " SELECT sample, feature, round(ln(1 + floor(value) * 10000 / sum(floor(value)) OVER (PARTITION BY sample)), 6) AS value FROM m1",
     }

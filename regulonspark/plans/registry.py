@@ -88,7 +88,7 @@ def _vis_nodes(d: Data) -> DataFrame:
     net = d.net(views.N1)
     nothing = d.m1.where("false")
     v, _ = V.network_frames(net.edges, nothing, d.m1, net.regulators())
-    return v.select("id", "is_regulator", F.round("mor", 9).alias("mor"), F.round("value", 4).alias("value"))
+    return v.select("id", "is_regulator", F.round("mor", 13).alias("mor"), F.round("value", 4).alias("value"))
 
 
 QUERIES = {
