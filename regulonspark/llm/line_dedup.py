@@ -50,7 +50,7 @@ class _Variable:
         spark = frame.sparkSession
         self.name = f"session.v{uuid.uuid4().hex}"
         view = f"t{uuid.uuid4().hex}"
-        frame.createOrReplaceTempView(view)
+        written(frame, "line-variable").createOrReplaceTempView(view)
         spark.sql(f"DECLARE VARIABLE {self.name} {kind}")
         spark.sql(f"SET VAR {self.name} = (SELECT * FROM {view})")
         spark.catalog.dropTempView(view)

@@ -6,7 +6,7 @@ executor costs a re-read and never a recomputation from a vanished copy.
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 
@@ -39,14 +39,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/regulonspark/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Spark removes the shuffle files of each command run inside as soon as that command has ended.
+
+    Until then they stay, so a task or a stage of a lost executor can run again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    # the shuffle files of what has just been written go once nobody holds its plan; that needs a collection
-    gc.collect()
-    spark._jvm.System.gc()
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
