@@ -143,14 +143,15 @@ def _candidates(lines: DataFrame, rarity: _Variable) -> DataFrame:
     return written(found, "line-candidates")
 
 
-def _sets_of(lines: DataFrame, ids: DataFrame, rarity: _Variable) -> DataFrame:
-    """a, b, p of the lines in ``ids``; a filter of fixed size keeps most others from being tokenized."""
-    at = F.pmod(F.col("a"), F.lit(FILTER_BITS))
-    words = ids.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("m"))
+def _sets_of(lines: DataFrame, places: DataFrame, rarity: _Variable) -> DataFrame:
+    """a, b, p of the lines at ``places``; a filter of fixed size keeps most others from being tokenized."""
+    at = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(FILTER_BITS))
+    words = places.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("m"))
     words = words.groupBy("w").agg(F.bit_or("m").alias("m"))
     bits = _Variable(_dense(words, FILTER_BITS >> 6, "w", F.col("m"), F.lit(0).cast("long")), "ARRAY<BIGINT>")
     kept = lines.where(F.expr(
-        f"(shiftrightunsigned(get({bits.name}, cast(pmod(a, {FILTER_BITS}) >> 6 AS int)), cast(pmod(a, {FILTER_BITS}) & 63 AS int)) & 1) = 1"))
+        f"(shiftrightunsigned(get({bits.name}, cast(pmod(xxhash64(doc_id, line_no), {FILTER_BITS}) >> 6 AS int)),"
+        f" cast(pmod(xxhash64(doc_id, line_no), {FILTER_BITS}) & 63 AS int)) & 1) = 1"))
     return written(_tokens(kept, rarity).groupBy("a", "b").agg(F.first("p").alias("p")), "line-sets")
 
 
@@ -166,7 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _later_matches(lines: DataFrame, rarity: _Variable) -> DataFrame:
     """a, b of the distinct lines that match an earlier one."""
     rows = _candidates(lines, rarity)
-    sets = _sets_of(lines, rows.select("a", "b").distinct(), rarity)
+    sets = _sets_of(lines, rows.select("doc_id", "line_no"), rarity)
     cols = ["a", "b", "doc_id", "line_no", "n", "i", "bits"]
     pivot = rows.groupBy("t").agg(F.min(F.struct(_place().alias("place"), *cols)).alias("x")).select("t", "x.*")
 
@@ -178,13 +179,17 @@ def _later_matches(lines: DataFrame, rarity: _Variable) -> DataFrame:
         return found.agg(F.count("*").alias("shared"), F.first(F.col("y.n") + F.col("x.n")).alias("both"),
                          F.first(F.greatest("y.n", "x.n")).alias("longer"))
 
-    settled = written(_verified(pairs(rows, pivot), sets), "line-matches")
+    def kept(found: DataFrame) -> DataFrame:
+        """The pairs as a table, so that what led to them is gone before their sets are fetched."""
+        return written(found.select("a", "b", "xa", "xb"), "line-pairs")
+
+    settled = written(_verified(kept(pairs(rows, pivot)), sets), "line-matches")
     rest = rows.join(settled, ["a", "b"], "left_anti")
     # of two prefixes, the one that ends first in the token order lies within the other's range: what they share
     # beyond their common prefix tokens is at most what that line has outside its prefix
     outside = F.ceil(F.col("longer") * NUM / DEN) - 1
     enough = (F.col("shared") + outside) * (NUM + DEN) >= F.col("both") * NUM
-    return settled.union(_verified(pairs(rest, rows).where(enough), sets))
+    return settled.union(_verified(kept(pairs(rest, rows).where(enough)), sets))
 
 
 def line_matches(docs: DataFrame) -> DataFrame:
