@@ -5,17 +5,19 @@ Jaccard similarity of their token sets is at least 4/5, or if they are equal.
 A line is removed if any earlier line (smaller doc_id, then smaller line
 number) matches it; of each group of equal lines the first is compared.
 
-1. Rarity: word counts are added up in a fixed number of hashed counters, and
+1. The texts are read once, into a table of lines with their distinct word hashes.
+2. Rarity: word counts are added up in a fixed number of hashed counters, and
    kept as levels (4 per power of two) in a session variable of fixed size. The order of
    tokens is (counter, hash), a total order in which rare words come first.
-2. Every distinct line gives the rarest n - ceil(4n/5) + 1 of its n tokens.
+3. Every distinct line gives the rarest n - ceil(4n/5) + 1 of its n tokens.
    A semi-join on those tokens keeps the lines that some other line agrees
    with under the length, positional, and bitmap filters; it stops at the
-   first such line, so it never makes pairs.
-3. The token sets of what is left are fetched and matches are verified in two
+   first such line, so it never makes pairs. (The positional filter, for the
+   first shared token, implies the length filter.)
+4. The token sets of what is left are fetched and matches are verified in two
    rounds: first against the earliest line of each token, which settles large
    groups with a row per line and token, then all others against every earlier line.
-4. Line numbers to remove are gathered per document.
+5. Line numbers to remove are gathered per document.
 
 Words are compared by 56-bit hashes within a candidate pair, and lines by 96.
 
@@ -57,9 +59,14 @@ class _Variable:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, and the line's two hashes."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"), F.hash("line", F.lit(7)).alias("b"))
+    """doc_id, line_no, the line's hashes a and b, n and hs: number and hashes of its distinct words.
+
+    The one pass over the texts; all later steps read the table of its result. The
+    outer form keeps the optimizer from adding a filter that would split every text twice.
+    """
+    split = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line IS NOT NULL")
+    words = split.select("doc_id", "line_no", F.xxhash64("line").alias("a"), F.hash("line", F.lit(7)).alias("b"), _hashed_words(F.col("line")).alias("hs"))
+    return words.withColumn("n", F.size("hs"))
 
 
 def _spaced(text, blanks: str):
@@ -70,8 +77,9 @@ def _spaced(text, blanks: str):
 
 
 def _hashed_words(text):
-    """Hashes of a text's words; that of the empty string where blanks meet."""
-    return F.transform(F.split(F.lower(_spaced(text, _BLANKS)), " "), lambda w: F.xxhash64(w))
+    """Hashes of a text's distinct words. (The empty string, found where blanks meet, is none.)"""
+    hs = F.transform(F.split(F.lower(_spaced(text, _BLANKS)), " "), lambda w: F.xxhash64(w).bitwiseAND(_HASH))
+    return F.array_remove(F.array_distinct(hs), F.xxhash64(F.lit("")).bitwiseAND(_HASH))
 
 
 def _dense(rows: DataFrame, size: int, at: str, value, zero, width: int = 1 << 10) -> DataFrame:
@@ -84,19 +92,11 @@ def _dense(rows: DataFrame, size: int, at: str, value, zero, width: int = 1 << 1
     return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "vs"))), lambda x: x["vs"])))
 
 
-def _rarity(docs: DataFrame) -> _Variable:
-    words = docs.select(F.explode(F.split(F.lower(_spaced(F.col("text"), _BLANKS + "\n")), " ")).alias("w")).where("w <> ''")
-    counts = words.select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).alias("c")).groupBy("c").count()
+def _rarity(lines: DataFrame) -> _Variable:
+    words = lines.select(F.explode_outer("hs").alias("h"))
+    counts = words.select(F.col("h").bitwiseAND(COUNTERS - 1).alias("c")).groupBy("c").count()
     level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1))).cast("long"), 56)
-    return _Variable(_dense(counts, COUNTERS, "c", level, F.lit(0).cast("long")), "ARRAY<BIGINT>")
-
-
-def _tokens(lines: DataFrame, rarity: _Variable) -> DataFrame:
-    """``lines`` with p: the hashes of the line's distinct words, rarest first. (A filter on it would compute it twice.)"""
-    some = lines.withColumn("hs", F.array_remove(F.array_distinct(_hashed_words(F.col("line"))), F.xxhash64(F.lit(""))))
-    ranked = F.expr(
-        f"sort_array(transform(hs, h -> get({rarity.name}, cast(h & {COUNTERS - 1} AS int)) | (h & {_HASH})))")
-    return some.withColumn("p", ranked)
+    return _Variable(_dense(counts.where("c IS NOT NULL"), COUNTERS, "c", level, F.lit(0).cast("long")), "ARRAY<BIGINT>")
 
 
 def _place(prefix: str = ""):
@@ -105,15 +105,17 @@ def _place(prefix: str = ""):
 
 
 def _may_match(x: str, y: str):
-    """Length, positional and bitmap filters for rows that share a token."""
+    """Length, positional and bitmap filters for rows that share a token.
+
+    The positional filter takes the token for the first that the lines share, so
+    that a pair that matches passes at that token at least.
+    """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     i, j = F.col(f"{x}.i"), F.col(f"{y}.i")
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
     apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
     both = n + m
     return (
-        (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
-        & (most * (NUM + DEN) >= both * NUM)
+        (F.least(n - i, m - j) * (NUM + DEN) >= both * NUM)
         & ((both - apart) * (NUM + DEN) >= both * 2 * NUM)
     )
 
@@ -129,22 +131,24 @@ def _earlier(x: str, y: str):
 
 def _candidates(lines: DataFrame, rarity: _Variable) -> DataFrame:
     """t, a, b, doc_id, line_no, n, i, bits: prefix tokens of distinct lines that another line may match."""
-    sets = _tokens(lines, rarity).withColumn("n", F.size("p"))
-    keep = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
-    bits = F.expr("aggregate(p, 0L, (s, h) -> s ^ shiftleft(1L, cast(h & 63 AS int)))")
+    # (never null, so that Spark sorts plain longs)
+    ranked = F.expr(f"sort_array(transform(hs, h -> coalesce(get({rarity.name}, cast(h & {COUNTERS - 1} AS int)), 0L) | h))")
+    sets = lines.where("n > 0").select(
+        "a", "b", "doc_id", "line_no", "n", F.expr("aggregate(hs, 0L, (s, h) -> s ^ shiftleft(1L, cast(h & 63 AS int)))").alias("bits"),
+        F.slice(ranked, F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1).alias("p"))
     # plain columns throughout: a field taken out of a struct here is lost on the way to the semi-join's condition
-    first = sets.select("a", "b", "doc_id", "line_no", "n", bits.alias("bits"), F.slice("p", F.lit(1), keep).alias("p")).groupBy("a", "b").agg(
+    first = sets.groupBy("a", "b").agg(
         F.min_by("doc_id", _place()).alias("doc_id"), F.min_by("line_no", _place()).alias("line_no"),
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("p").alias("p"))
-    rows = first.select("a", "b", "doc_id", "line_no", "n", "bits", F.posexplode("p").alias("i", "t"))
+    rows = first.select("a", "b", "doc_id", "line_no", "n", "bits", F.posexplode_outer("p").alias("i", "t"))
     # (a, b) tells rows apart; naming the places too gives both sides the same columns, and so one exchange for both
     same = ~_differ("x", "y") & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.line_no") == F.col("y.line_no"))
     found = rows.alias("y").join(rows.alias("x"), (F.col("x.t") == F.col("y.t")) & ~same & _may_match("x", "y"), "left_semi")
     return written(found, "line-candidates")
 
 
-def _sets_of(lines: DataFrame, places: DataFrame, rarity: _Variable) -> DataFrame:
-    """a, b, p of the lines at ``places``; a filter of fixed size keeps most others from being tokenized."""
+def _sets_of(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """a, b, p of the lines at ``places``; a filter of fixed size keeps most others from being shuffled."""
     at = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(FILTER_BITS))
     words = places.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("m"))
     words = words.groupBy("w").agg(F.bit_or("m").alias("m"))
@@ -152,7 +156,7 @@ def _sets_of(lines: DataFrame, places: DataFrame, rarity: _Variable) -> DataFram
     kept = lines.where(F.expr(
         f"(shiftrightunsigned(get({bits.name}, cast(pmod(xxhash64(doc_id, line_no), {FILTER_BITS}) >> 6 AS int)),"
         f" cast(pmod(xxhash64(doc_id, line_no), {FILTER_BITS}) & 63 AS int)) & 1) = 1"))
-    return written(_tokens(kept, rarity).groupBy("a", "b").agg(F.first("p").alias("p")), "line-sets")
+    return written(kept.groupBy("a", "b").agg(F.first("hs").alias("p")), "line-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -164,40 +168,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         F.size(F.array_intersect("p_own", "p_other")) * (NUM + DEN) >= both * NUM).select("a", "b").distinct()
 
 
-def _later_matches(lines: DataFrame, rarity: _Variable) -> DataFrame:
+def _later_matches(lines: DataFrame) -> DataFrame:
     """a, b of the distinct lines that match an earlier one."""
-    rows = _candidates(lines, rarity)
-    sets = _sets_of(lines, rows.select("doc_id", "line_no"), rarity)
+    rows = _candidates(lines, _rarity(lines))
+    sets = _sets_of(lines, rows.select("doc_id", "line_no"))
     cols = ["a", "b", "doc_id", "line_no", "n", "i", "bits"]
     pivot = rows.groupBy("t").agg(F.min(F.struct(_place().alias("place"), *cols)).alias("x")).select("t", "x.*")
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """The pairs as a table, so that what led to them is gone before their sets are fetched."""
         met = later.alias("y").join(
             earlier.alias("x"),
             (F.col("x.t") == F.col("y.t")) & _differ("x", "y") & _earlier("x", "y") & _may_match("x", "y"))
-        found = met.groupBy(F.col("y.a").alias("a"), F.col("y.b").alias("b"), F.col("x.a").alias("xa"), F.col("x.b").alias("xb"))
-        return found.agg(F.count("*").alias("shared"), F.first(F.col("y.n") + F.col("x.n")).alias("both"),
-                         F.first(F.greatest("y.n", "x.n")).alias("longer"))
-
-    def kept(found: DataFrame) -> DataFrame:
-        """The pairs as a table, so that what led to them is gone before their sets are fetched."""
-        return written(found.select("a", "b", "xa", "xb"), "line-pairs")
+        return written(met.select("y.a", "y.b", F.col("x.a").alias("xa"), F.col("x.b").alias("xb")).distinct(), "line-pairs")
 
-    settled = written(_verified(kept(pairs(rows, pivot)), sets), "line-matches")
+    settled = written(_verified(pairs(rows, pivot), sets), "line-matches")
     rest = rows.join(settled, ["a", "b"], "left_anti")
-    # of two prefixes, the one that ends first in the token order lies within the other's range: what they share
-    # beyond their common prefix tokens is at most what that line has outside its prefix
-    outside = F.ceil(F.col("longer") * NUM / DEN) - 1
-    enough = (F.col("shared") + outside) * (NUM + DEN) >= F.col("both") * NUM
-    return settled.union(_verified(kept(pairs(rest, rows).where(enough)), sets))
+    return settled.union(_verified(pairs(rest, rows), sets))
 
 
 def line_matches(docs: DataFrame) -> DataFrame:
     """doc_id, removed_lines (numbers from 0, in order) of every doc_id that loses lines."""
-    lines = _lines(docs)
-    matched = _later_matches(lines, _rarity(docs)).withColumn("similar", F.lit(True))
-    firsts = lines.where(F.length(F.translate("line", _BLANKS + " ", "")) > 0).groupBy("a", "b").agg(
-        F.min(_place()).alias("first"), F.count("*").alias("n"))
+    lines = written(_lines(docs), "line-words", compression="zstd")
+    matched = _later_matches(lines).withColumn("similar", F.lit(True))
+    firsts = lines.where("n > 0").groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     judged = firsts.join(matched, ["a", "b"], "left").where("n > 1 or similar")
     gone = lines.select("doc_id", "line_no", "a", "b").join(judged, ["a", "b"]).where(
         F.coalesce("similar", F.lit(False)) | (F.col("first") < _place()))

@@ -54,12 +54,12 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, with the writer's ``options``, and read again."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
