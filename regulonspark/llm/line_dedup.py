@@ -19,7 +19,8 @@ number) matches it; of each group of equal lines the first is compared.
    groups with a row per line and token, then all others against every earlier line.
 5. Line numbers to remove are gathered per document.
 
-Words are compared by 56-bit hashes within a candidate pair, and lines by 96.
+Words are compared by 56-bit hashes within a candidate pair. Equal lines are told
+by 96-bit hashes; pairs name their lines by the first 64 of these.
 
 Defined results: blank lines have no tokens and are never removed; a null text
 has no lines and stays null, an empty one has one blank line; a null doc_id
@@ -110,27 +111,23 @@ def _may_match(x: str, y: str):
     The positional filter takes the token for the first that the lines share, so
     that a pair that matches passes at that token at least.
     """
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    i, j = F.col(f"{x}.i"), F.col(f"{y}.i")
+    n, m = (F.shiftright(F.col(f"{r}.n_i"), 32) for r in (x, y))
+    i, j = (F.col(f"{r}.n_i").bitwiseAND((1 << 32) - 1) for r in (x, y))
     apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
     both = n + m
     return (
-        (F.least(n - i, m - j) * (NUM + DEN) >= both * NUM)
-        & ((both - apart) * (NUM + DEN) >= both * 2 * NUM)
+        ((both - apart) * (NUM + DEN) >= both * 2 * NUM)
+        & (F.least(n - i, m - j) * (NUM + DEN) >= both * NUM)
     )
 
 
-def _differ(x: str, y: str):
-    return (F.col(f"{x}.a") != F.col(f"{y}.a")) | (F.col(f"{x}.b") != F.col(f"{y}.b"))
-
-
 def _earlier(x: str, y: str):
     """Whether x comes before y."""
     return _place(f"{x}.") < _place(f"{y}.")
 
 
 def _candidates(lines: DataFrame, rarity: _Variable) -> DataFrame:
-    """t, a, b, doc_id, line_no, n, i, bits: prefix tokens of distinct lines that another line may match."""
+    """t, a, doc_id, line_no, n_i, bits: prefix tokens of distinct lines that another line may match; n_i is n * 2^32 + i."""
     # (never null, so that Spark sorts plain longs)
     ranked = F.expr(f"sort_array(transform(hs, h -> coalesce(get({rarity.name}, cast(h & {COUNTERS - 1} AS int)), 0L) | h))")
     sets = lines.where("n > 0").select(
@@ -140,9 +137,10 @@ def _candidates(lines: DataFrame, rarity: _Variable) -> DataFrame:
     first = sets.groupBy("a", "b").agg(
         F.min_by("doc_id", _place()).alias("doc_id"), F.min_by("line_no", _place()).alias("line_no"),
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("p").alias("p"))
-    rows = first.select("a", "b", "doc_id", "line_no", "n", "bits", F.posexplode_outer("p").alias("i", "t"))
-    # (a, b) tells rows apart; naming the places too gives both sides the same columns, and so one exchange for both
-    same = ~_differ("x", "y") & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.line_no") == F.col("y.line_no"))
+    rows = first.select("a", "doc_id", "line_no", "n", "bits", F.posexplode_outer("p").alias("i", "t")).select(
+        "t", "a", "doc_id", "line_no", F.expr("shiftleft(cast(n AS bigint), 32) | i").alias("n_i"), "bits")
+    # a tells rows apart; naming the places too gives both sides the same columns, and so one exchange for both
+    same = (F.col("x.a") == F.col("y.a")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.line_no") == F.col("y.line_no"))
     found = rows.alias("y").join(rows.alias("x"), (F.col("x.t") == F.col("y.t")) & ~same & _may_match("x", "y"), "left_semi")
     return written(found, "line-candidates")
 
@@ -160,11 +158,11 @@ def _sets_of(lines: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the later lines of ``pairs`` (a, b, xa, xb) whose sets are similar enough."""
+    """a, b of the later lines of ``pairs`` (a, xa) whose sets are similar enough."""
     own = sets.withColumnRenamed("p", "p_own")
-    other = sets.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("p").alias("p_other"))
+    other = sets.select(F.col("a").alias("xa"), F.col("p").alias("p_other"))
     both = F.size("p_own") + F.size("p_other")
-    return pairs.join(own, ["a", "b"]).join(other, ["xa", "xb"]).where(
+    return pairs.join(own, "a").join(other, "xa").where(
         F.size(F.array_intersect("p_own", "p_other")) * (NUM + DEN) >= both * NUM).select("a", "b").distinct()
 
 
@@ -172,18 +170,18 @@ def _later_matches(lines: DataFrame) -> DataFrame:
     """a, b of the distinct lines that match an earlier one."""
     rows = _candidates(lines, _rarity(lines))
     sets = _sets_of(lines, rows.select("doc_id", "line_no"))
-    cols = ["a", "b", "doc_id", "line_no", "n", "i", "bits"]
-    pivot = rows.groupBy("t").agg(F.min(F.struct(_place().alias("place"), *cols)).alias("x")).select("t", "x.*")
+    pivot = rows.groupBy("t").agg(
+        F.min(F.struct(_place().alias("place"), "a", "doc_id", "line_no", "n_i", "bits")).alias("x")).select("t", "x.*")
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
         """The pairs as a table, so that what led to them is gone before their sets are fetched."""
         met = later.alias("y").join(
             earlier.alias("x"),
-            (F.col("x.t") == F.col("y.t")) & _differ("x", "y") & _earlier("x", "y") & _may_match("x", "y"))
-        return written(met.select("y.a", "y.b", F.col("x.a").alias("xa"), F.col("x.b").alias("xb")).distinct(), "line-pairs")
+            (F.col("x.t") == F.col("y.t")) & (F.col("x.a") != F.col("y.a")) & _may_match("x", "y") & _earlier("x", "y"))
+        return written(met.select("y.a", F.col("x.a").alias("xa")).distinct(), "line-pairs")
 
     settled = written(_verified(pairs(rows, pivot), sets), "line-matches")
-    rest = rows.join(settled, ["a", "b"], "left_anti")
+    rest = rows.join(settled.select("a"), "a", "left_anti")
     return settled.union(_verified(pairs(rest, rows), sets))
 
 
