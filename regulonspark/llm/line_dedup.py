@@ -182,7 +182,7 @@ def _later_matches(lines: DataFrame) -> DataFrame:
 
     settled = written(_verified(pairs(rows, pivot), sets), "line-matches")
     rest = rows.join(settled.select("a"), "a", "left_anti")
-    return settled.union(_verified(pairs(rest, rows), sets))
+    return settled.union(written(_verified(pairs(rest, rows), sets), "line-matches"))
 
 
 def line_matches(docs: DataFrame) -> DataFrame:
