@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regulonspark.llm import language_id, line_dedup, mixing, packing, simhash
+from regulonspark.llm import language_id, line_dedup, mixing, near_copies, packing
 from regulonspark.llm.work import written
 
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies (Jaccard 0.8 on five-word shingles): that with the smallest id."""
+    return near_copies.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language models, SimHash and tokenization are beyond SQL; the stages are tested against brute force.
+#: Language models, shingle sets and tokenization are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

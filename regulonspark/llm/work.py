@@ -73,3 +73,19 @@ def release(spark: SparkSession) -> None:
 def word_count(col):
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def row_keys() -> list:
+    """ka, kb: two hashes that tell rows by doc_id and text."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "ka"), (2, "kb"))]
+
+
+def first_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``labels`` (ka, kb, doc_id, root): the smallest id, null ids last."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ka", "kb")
+    kept = labels.groupBy("root").agg(F.min(place).alias("at")).select("at.ka", "at.kb")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    met = docs.select(*row_keys(), F.struct(*names).alias("row")).join(kept, ["ka", "kb"], "left_semi")
+    one = met.groupBy("ka", "kb").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*")
