@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import first_rows, row_keys, written
 
 SHINGLE = 3
 SEED = 42
@@ -87,16 +87,18 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """The columns of ``docs`` but text, and fp (the fingerprint as a signed long)."""
+    carried = [c for c in docs.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = []
             for lo in range(0, batch.num_rows, 128):
-                fps += [fingerprint(t, k, seed) for t in batch.column(1).slice(lo, 128).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+                fps += [fingerprint(t, k, seed) for t in batch.column(len(carried)).slice(lo, 128).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(fps, pa.int64())], names=[*carried, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carried)
+    return docs.select(*carried, "text").mapInArrow(run, f"{kinds}fp bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -247,30 +249,28 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         edges = written(small.where("a <> b").distinct(), name)
 
 
-def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint, component_id (the smallest doc_id reachable) per row of ``docs``."""
-    marked = written(fingerprints(docs, k, seed), "fingerprints")
+def _rooted(marked: DataFrame, distance: int) -> DataFrame:
+    """fp, first_id, root (a fingerprint that names the component) of every fingerprint of ``marked``."""
     entries = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     stars = components(near_links(entries.select("fp"), distance))
-    rooted = entries.join(stars, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return entries.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint, component_id (the smallest doc_id reachable) per row of ``docs``."""
+    marked = written(fingerprints(docs.select("doc_id", "text"), k, seed), "fingerprints")
+    rooted = _rooted(marked, distance)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(ids, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the document with the smallest id.
+def keep_first(docs: DataFrame, *, distance: int = DISTANCE, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` without near-duplicates: of each group one row, that with the smallest id, null ids last.
 
-    Rows that repeat a doc_id count as one document, of which one row stays.
+    Rows are told by doc_id and text, so rows that share an id, or have none,
+    are apart unless their texts are near.
     """
-    from pyspark.sql import Window as W
-
-    found = near_duplicates(docs, **how)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    names = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    met = docs.withColumn("_key", key).join(kept.select(key.alias("_key")), "_key", "left_semi")
-    turn = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64("text")))
-    return met.withColumn("_turn", turn).where("_turn = 1").select(*[F.col(f"`{c}`") for c in names])
+    marked = written(fingerprints(docs.select(*row_keys(), "doc_id", "text"), k, seed), "fingerprints")
+    return first_rows(docs, marked.join(_rooted(marked, distance).select("fp", "root"), "fp"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+import pytest
+
 import corpus_pipeline
-from regulonspark.llm import near_copies as N
+from regulonspark.llm import near_copies as N, simhash as H
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string"
 
@@ -53,3 +55,12 @@ def test_prefix_has_as_many_as_the_filter_needs(spark):
     docs = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n + 4)), "en", "s", 0, "e") for n in range(1, 30)], DOCS)
     for r in N._marked(docs, 5).collect():
         assert (r.n, len(r.p)) == (r.doc_id, r.n - -(-4 * r.n // 5) + 1)
+
+
+@pytest.mark.parametrize("keep", [H.keep_first, N.keep_first])
+def test_rows_are_told_apart_without_their_ids(spark, keep):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d), (None, d), (5, e), (5, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "e") for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in keep(docs).collect()), key=repr)
+    assert got == sorted([(None, a), (None, b), (7, c), (3, d), (5, e)], key=repr)
