@@ -25,7 +25,8 @@ by 96-bit hashes; pairs name their lines by the first 64 of these.
 Defined results: blank lines have no tokens and are never removed; a null text
 has no lines and stays null, an empty one has one blank line; a null doc_id
 sorts last; rows that repeat a doc_id share their places, so that equal lines
-at equal places stay in both; an empty table gives an empty result. Columns
+at equal places stay in both, and lose only their own lines, as they are told
+apart by a 64-bit hash of the text; an empty table gives an empty result. Columns
 other than doc_id and text are untouched. Texts are processed whole.
 """
 
@@ -60,13 +61,13 @@ class _Variable:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, the line's hashes a and b, n and hs: number and hashes of its distinct words.
+    """doc_id, text_hash, line_no, the line's hashes a and b, n and hs: number and hashes of its distinct words.
 
     The one pass over the texts; all later steps read the table of its result. The
     outer form keeps the optimizer from adding a filter that would split every text twice.
     """
-    split = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line IS NOT NULL")
-    words = split.select("doc_id", "line_no", F.xxhash64("line").alias("a"), F.hash("line", F.lit(7)).alias("b"), _hashed_words(F.col("line")).alias("hs"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line IS NOT NULL")
+    words = split.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("a"), F.hash("line", F.lit(7)).alias("b"), _hashed_words(F.col("line")).alias("hs"))
     return words.withColumn("n", F.size("hs"))
 
 
@@ -186,22 +187,27 @@ def _later_matches(lines: DataFrame) -> DataFrame:
 
 
 def line_matches(docs: DataFrame) -> DataFrame:
-    """doc_id, removed_lines (numbers from 0, in order) of every doc_id that loses lines."""
+    """doc_id, text_hash, removed_lines (numbers from 0, in order) of every document that loses lines."""
     lines = written(_lines(docs), "line-words", compression="zstd")
     matched = _later_matches(lines).withColumn("similar", F.lit(True))
     firsts = lines.where("n > 0").groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     judged = firsts.join(matched, ["a", "b"], "left").where("n > 1 or similar")
-    gone = lines.select("doc_id", "line_no", "a", "b").join(judged, ["a", "b"]).where(
+    gone = lines.select("doc_id", "text_hash", "line_no", "a", "b").join(judged, ["a", "b"]).where(
         F.coalesce("similar", F.lit(False)) | (F.col("first") < _place()))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+
+
+def _own(text_hash):
+    """Whether removals (_d, _h) are those of the row."""
+    return F.col("doc_id").eqNullSafe(F.col("_d")) & (text_hash == F.col("_h"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines for every row of ``docs``."""
-    removed = line_matches(docs).withColumnRenamed("doc_id", "_d")
+    removed = line_matches(docs).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
     sized = docs.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
-    return sized.join(removed, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
+    return sized.join(removed, _own(F.col("text_hash")), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
 
@@ -212,8 +218,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Documents are never dropped: one that loses all its lines has an empty text.
     """
     names = docs.columns
-    removed = line_matches(docs).withColumnRenamed("doc_id", "_d")
-    met = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    removed = line_matches(docs).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
+    met = docs.join(removed, _own(F.xxhash64("text")), "left")
     changed = F.col("removed_lines").isNotNull()
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
     out = met.withColumn("text", F.when(changed, kept).otherwise(F.col("text")))
