@@ -5,8 +5,10 @@ neighbours the smallest is kept) and go to an inverted index: hash to
 (template, place). A text is winnowed the same way, so that any run of
 w + k - 1 words that it shares with a template shares a fingerprint; the
 fingerprints name the candidates and the diagonals on which they may lie. On
-each diagonal a local alignment in a band decides what matched: its
-template coverage and its span in the text.
+each group of neighbouring diagonals a local alignment in a band decides what
+matched: its template coverage and its span in the text. What lies before and
+after that span is aligned again while it is long enough for a match, so that
+repeated notices are all found.
 
 The templates are a parameter of bounded size and go to every task; texts stay
 where they are, so there is no shuffle, and equal texts cost the same in any
@@ -102,8 +104,8 @@ class TemplateIndex:
         places = np.unique(np.arange(len(h) - w + 1) + w - 1 - view.argmin(1))
         return [(int(p), int(h[p])) for p in places]
 
-    def align(self, t: int, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int]:
-        """(score, matched words, start, end) of the best local alignment near text place - template place = diagonal."""
+    def align(self, t: int, text: np.ndarray, diagonal: int, band: int, lo: int, hi: int) -> tuple[int, int, int, int]:
+        """(score, matched words, start, end) of the best local alignment in text[lo:hi] near text place - template place = diagonal."""
         a = self.words[t]
         width = 2 * band + 1
         best = (0, 0, 0, 0)
@@ -114,7 +116,7 @@ class TemplateIndex:
             score, hits, begin = [0] * width, [0] * width, [0] * width
             for o in range(width):
                 j = i + diagonal + o - band
-                if not 0 <= j < len(text):
+                if not lo <= j < hi:
                     continue
                 same = a[i] == text[j]
                 s, h, b = up[o] + (MATCH if same else MISS), uph[o] + same, upb[o] if up[o] > 0 else j
@@ -128,6 +130,21 @@ class TemplateIndex:
                         best = (s, int(h), b, j + 1)
         return best
 
+    def matches(self, t: int, text: np.ndarray, diagonal: int, band: int, coverage: float) -> Iterator[tuple[int, int, int]]:
+        """(matched words, start, end) of every match in the band: the best, then those before and after it."""
+        n = len(self.words[t])
+        parts = [(max(0, diagonal - band), min(len(text), diagonal + n + band))]
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo < coverage * n:
+                continue
+            score, hits, start, end = self.align(t, text, diagonal, band, lo, hi)
+            if not score:
+                continue
+            if hits / n >= coverage:
+                yield hits, start, end
+            parts += [(lo, start), (end, hi)]
+
     def scan_words(self, text: np.ndarray, band: int, coverage: float) -> list[tuple[int, float, int, int, int]]:
         """(template, coverage, matched, start, end) in ``text``, a run of word numbers; overlaps go to the better match."""
         found: dict[tuple[int, int], tuple] = {}
@@ -138,10 +155,10 @@ class TemplateIndex:
                 if cell in tried:
                     continue
                 tried.add(cell)
-                _, hits, start, end = self.align(t, text, at - place, band)
-                share = hits / len(self.words[t])
-                if share >= coverage:
-                    found[(t, start)] = max(found.get((t, start), ()), (share, hits, t, start, end))
+                # the band reaches as far from every diagonal of the cell
+                middle, reach = cell[1] * (band + 1) + band // 2, band + (band + 1) // 2
+                for hits, start, end in self.matches(t, text, middle, reach, coverage):
+                    found[(t, start)] = max(found.get((t, start), ()), (hits / len(self.words[t]), hits, t, start, end))
         out: list[tuple] = []
         for m in sorted(found.values(), key=lambda m: (-m[1], -m[0], m[3], m[2])):
             if all(m[4] <= o[3] or m[3] >= o[4] for o in out):
