@@ -1,9 +1,10 @@
 """Representative subsampling and metacells.
 
 The choice of samples is sequential by nature and runs per cluster, in one
-task each with a distance matrix of the cluster's samples; clusters of more
-than ``MOST`` samples are refused rather than cut. Sums and statistics are
-joins and aggregations.
+task each with a distance matrix of the cluster's samples. Clusters of more
+than ``MOST`` samples are condensed in blocks of near samples, halving until the
+rest fits, and their nearest neighbours are found exactly, block by block; the
+task holds the cluster's vectors. Sums and statistics are joins and aggregations.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Samples of a cluster at most: a distance matrix of 3.2 GB.
-MOST = 20_000
+#: Samples that are paired with one distance matrix (of 3.2 GB) at most, samples of a block of larger clusters (even), and cells of a block of distances.
+MOST, BLOCK, CELLS = 20_000, 2_000, 1 << 25
 
 
-def _dist(v: np.ndarray) -> np.ndarray:
+def _unit(v: np.ndarray) -> np.ndarray:
     v = v - v.mean(1, keepdims=True)
     norm = np.sqrt((v * v).sum(1, keepdims=True))
-    v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def _dist(v: np.ndarray) -> np.ndarray:
+    v = _unit(v)
     d = np.sqrt(np.maximum(0.0, 1.0 - np.clip(v @ v.T, -1, 1)))
     np.fill_diagonal(d, 0.0)
     return d
@@ -47,11 +52,37 @@ def sample_pairs(d: np.ndarray, size: int, rng: np.random.Generator) -> tuple[li
     return chosen, partners
 
 
+def _nearest(v: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest of every sample, itself among them, from blocks of the distance matrix."""
+    v = _unit(v)
+    out = np.empty((len(v), min(k, len(v))), np.int64)
+    step = max(1, CELLS // len(v))
+    for lo in range(0, len(v), step):
+        d = np.sqrt(np.maximum(0.0, 1.0 - np.clip(v[lo : lo + step] @ v.T, -1, 1)))
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = 0.0
+        out[lo : lo + step] = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return out
+
+
+def _pairs(points: np.ndarray, size: int, rng: np.random.Generator) -> tuple[list[int], list[int]]:
+    """``sample_pairs`` of all points, or in blocks of points on the same sides of random planes if they are many."""
+    n = len(points)
+    if n <= MOST:
+        return sample_pairs(_dist(points), size, rng)
+    sides = _unit(points) @ rng.normal(size=(points.shape[1], 16)) > 0
+    order = np.lexsort(np.logical_xor.accumulate(sides, axis=1).T[::-1])  # Gray order keeps neighbouring blocks near
+    chosen, partners = [], []
+    for lo in range(0, n, BLOCK):
+        at = order[lo : lo + BLOCK]
+        a, b = sample_pairs(_dist(points[at]), size * (lo + len(at)) // n - size * lo // n, rng)
+        chosen += at[a].tolist()
+        partners += at[b].tolist()
+    return chosen, partners
+
+
 def representative(v: np.ndarray, size: int, seed: int = 0) -> list[int]:
     """Indices of ``size`` samples that stand for all: halve by condensing nearest pairs, then sample."""
     n = len(v)
-    if n > MOST:
-        raise ValueError(f"more than {MOST} samples in a cluster")
     if size >= n:
         return list(range(n))
     rng = np.random.default_rng(seed)
@@ -60,12 +91,11 @@ def representative(v: np.ndarray, size: int, seed: int = 0) -> list[int]:
         if len(points) % 2:
             drop = int(rng.integers(len(points)))
             points, members = np.delete(points, drop, 0), members[:drop] + members[drop + 1 :]
-        a, b = sample_pairs(_dist(points), len(points) // 2, rng)
+        a, b = _pairs(points, len(points) // 2, rng)
         points, members = (points[a] + points[b]) / 2, [members[i] + members[j] for i, j in zip(a, b)]
-    d = _dist(points)
     if len(points) > size:
         few = min(size, len(points) - size)
-        picked, _ = sample_pairs(d, few, rng)
+        picked, _ = _pairs(points, few, rng)
         if few < size:  # the rest is smaller: leave representatives of it out
             picked = sorted(set(range(len(points))) - set(picked))
     else:
@@ -84,13 +114,13 @@ def repr_subsample(vectors: DataFrame, size: int = 1000, seed: int = 0, clusters
     return v.select("cluster", "sample", "vec").groupBy("cluster").applyInPandas(run, "cluster string, sample string")
 
 
-def _groups(d: np.ndarray, v: np.ndarray, size: int, k: int, seed: int, spread: bool) -> np.ndarray:
+def _groups(d: np.ndarray | None, v: np.ndarray, size: int, k: int, seed: int, spread: bool) -> np.ndarray:
     """size x k members: each representative and its nearest; with ``spread``, rows are swapped for ones that reuse less."""
-    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-    size = min(size, len(d))
+    order = _nearest(v.astype(float), k) if d is None else np.argsort(d, axis=1, kind="stable")[:, :k]
+    size = min(size, len(v))
     rows = list(representative(v, size, seed))
     if spread:
-        use = np.bincount(order[rows].ravel(), minlength=len(d))
+        use = np.bincount(order[rows].ravel(), minlength=len(v))
         for _ in range(10):
             moved = False
             for at, r in enumerate(rows):
@@ -118,7 +148,8 @@ def choose_metacells(v: np.ndarray, depth: np.ndarray, *, size=None, n_cells=Non
     given = {k: x for k, x in dict(size=size, n_cells=n_cells, depth=min_median_depth, used=perc_data_to_use, reused=perc_incl_data_reused).items() if x is not None}
     if len(given) != 2 or {"n_cells", "depth"} <= set(given):
         raise ValueError("give exactly two of size, n_cells, min_median_depth, perc_data_to_use, perc_incl_data_reused; cells and depth are one")
-    n, d = len(v), _dist(v.astype(float))
+    n = len(v)
+    d = _dist(v.astype(float)) if n <= MOST else None
     k = n_cells if n_cells is not None else int(np.ceil(min_median_depth / depth.mean())) if min_median_depth is not None else None
     k = min(k, n) if k is not None else None
     if size is not None and k is not None:
