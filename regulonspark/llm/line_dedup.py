@@ -5,22 +5,26 @@ Jaccard similarity of their token sets is at least 4/5, or if they are equal.
 A line is removed if any earlier line (smaller doc_id, then smaller line
 number) matches it; of each group of equal lines the first is compared.
 
-1. The texts are read once, into a table of lines with their distinct word hashes.
+1. The texts are split once, into a table of lines with their distinct word hashes.
 2. Rarity: word counts are added up in a fixed number of hashed counters, and
    kept as levels (4 per power of two) in a session variable of fixed size. The order of
-   tokens is (counter, hash), a total order in which rare words come first.
+   tokens is (level, hash), a total order in which rare words come first.
 3. Every distinct line gives the rarest n - ceil(4n/5) + 1 of its n tokens.
    A semi-join on those tokens keeps the lines that some other line agrees
-   with under the length, positional, and bitmap filters; it stops at the
+   with under the length, positional, and parity filters; it stops at the
    first such line, so it never makes pairs. (The positional filter, for the
-   first shared token, implies the length filter.)
+   first shared token, implies the length filter. The parity filter compares
+   sketches of 64 bits, or 128 for lines of more than 80 words; it never
+   rejects a match.)
 4. The token sets of what is left are fetched and matches are verified in two
    rounds: first against the earliest line of each token, which settles large
    groups with a row per line and token, then all others against every earlier line.
-5. Line numbers to remove are gathered per document.
+5. Line numbers to remove are gathered per document. Lines that are one of
+   4096 or more of all are dealt over salts, so that no task gets such a group whole.
 
-Words are compared by 56-bit hashes within a candidate pair. Equal lines are told
-by 96-bit hashes; pairs name their lines by the first 64 of these.
+Words are compared by 56-bit hashes. Equal lines are told by 96-bit hashes; pairs
+name their lines by the first 64 of these. A table is deleted as soon as all that
+is made from it is written.
 
 Defined results: blank lines have no tokens and are never removed; a null text
 has no lines and stays null, an empty one has one blank line; a null doc_id
@@ -32,184 +36,180 @@ other than doc_id and text are untouched. Texts are processed whole.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import ArrayVariable, dense, discard, written
 
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
-#: Hashed counters of the rarity order, and bits of the filter for candidate lines.
+#: Hashed counters of the rarity order, and bits of the filter for lines to fetch.
 COUNTERS, FILTER_BITS = 1 << 20, 1 << 23
+#: Lines of more words have the wider sketch; words up to which a line's size is carried exactly in the filters.
+WIDE, SIZED = 80, (1 << 16) - 1
+#: Equal lines are dealt over SALTS tasks if they are more than one in HEAVY of all lines; so at most HEAVY groups are.
+HEAVY, SALTS = 4096, 64
 _BLANKS = "\t\x0b\x0c\r"
 _HASH = (1 << 56) - 1
 
 
-class _Variable:
-    """A session variable that holds one array; its value becomes a constant of the plans that read it."""
-
-    def __init__(self, frame: DataFrame, kind: str):
-        spark = frame.sparkSession
-        self.name = f"session.v{uuid.uuid4().hex}"
-        view = f"t{uuid.uuid4().hex}"
-        written(frame, "line-variable").createOrReplaceTempView(view)
-        spark.sql(f"DECLARE VARIABLE {self.name} {kind}")
-        spark.sql(f"SET VAR {self.name} = (SELECT * FROM {view})")
-        spark.catalog.dropTempView(view)
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, the line's hashes a and b, n and hs: number and hashes of its distinct words.
+    """doc_id, text_hash, line_no, the line's hashes a and b, and hs: hashes of its distinct words.
 
-    The one pass over the texts; all later steps read the table of its result. The
-    outer form keeps the optimizer from adding a filter that would split every text twice.
+    Lines are named after lower-casing, with a space for each other blank: equal ones have
+    the same words. The outer form keeps the optimizer from adding a filter that would split
+    every text twice. (The empty word, found where blanks meet, is none.)
     """
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line IS NOT NULL")
-    words = split.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("a"), F.hash("line", F.lit(7)).alias("b"), _hashed_words(F.col("line")).alias("hs"))
-    return words.withColumn("n", F.size("hs"))
-
-
-def _spaced(text, blanks: str):
-    """``text`` with a space for each other blank."""
-    for c in blanks:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
+    # (two steps, so that nothing of the whole text is computed for each of its lines)
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.lower(_spaced(F.col("text"))), "\n").alias("lines")).select(
+        "doc_id", "text_hash", F.posexplode_outer("lines").alias("line_no", "line"))
+    hs = F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(_HASH))
+    return split.where("line IS NOT NULL").select(
+        "doc_id", "text_hash", "line_no", F.xxhash64("line").alias("a"), F.hash("line", F.lit(7)).alias("b"),
+        F.array_remove(F.array_distinct(hs), F.xxhash64(F.lit("")).bitwiseAND(_HASH)).alias("hs"))
 
-def _hashed_words(text):
-    """Hashes of a text's distinct words. (The empty string, found where blanks meet, is none.)"""
-    hs = F.transform(F.split(F.lower(_spaced(text, _BLANKS)), " "), lambda w: F.xxhash64(w).bitwiseAND(_HASH))
-    return F.array_remove(F.array_distinct(hs), F.xxhash64(F.lit("")).bitwiseAND(_HASH))
 
+def _spaced(text):
+    """``text`` with a space for each blank but line ends."""
+    spaced, found = text, F.lit(False)
+    for c in _BLANKS:
+        spaced, found = F.replace(spaced, F.lit(c), F.lit(" ")), found | F.contains(text, F.lit(c))
+    return F.when(found, spaced).otherwise(text)
 
-def _dense(rows: DataFrame, size: int, at: str, value, zero, width: int = 1 << 10) -> DataFrame:
-    """One row with an array of ``size`` values: ``value`` of the row numbered ``at``, else ``zero``."""
-    spark = rows.sparkSession
-    every = rows.select(F.col(at).alias("at"), value.alias("v")).union(spark.range(size).select("id", zero))
-    filled = every.groupBy("at").agg(F.bit_or("v").alias("v"))
-    parts = filled.groupBy(F.shiftright("at", width.bit_length() - 1).alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vs"))
-    return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "vs"))), lambda x: x["vs"])))
 
-
-def _rarity(lines: DataFrame) -> _Variable:
-    words = lines.select(F.explode_outer("hs").alias("h"))
-    counts = words.select(F.col("h").bitwiseAND(COUNTERS - 1).alias("c")).groupBy("c").count()
-    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1))).cast("long"), 56)
-    return _Variable(_dense(counts.where("c IS NOT NULL"), COUNTERS, "c", level, F.lit(0).cast("long")), "ARRAY<BIGINT>")
+def _levels(lines: DataFrame) -> DataFrame:
+    """One array: the rarity level of every counter. (Eight levels are one long until the last step.)"""
+    counts = lines.select(F.explode_outer("hs").alias("h")).select(F.col("h").bitwiseAND(COUNTERS - 1).alias("c")).groupBy("c").count().where("c IS NOT NULL")
+    level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1))).cast("long")
+    packed = counts.select(F.shiftright("c", 3).alias("at"), F.call_function("shiftleft", level, (F.col("c").bitwiseAND(7) * 8).cast("int")).alias("v"))
+    return dense(packed, COUNTERS >> 3).selectExpr(
+        "flatten(transform(vs, v -> transform(sequence(0, 56, 8), s -> cast(shiftrightunsigned(v, s) & 127 AS tinyint)))) AS vs")
 
 
 def _place(prefix: str = ""):
     """Sort key of a line's place; nulls last."""
-    return F.struct(F.col(f"{prefix}doc_id").isNull(), F.col(f"{prefix}doc_id"), F.col(f"{prefix}line_no"))
+    return F.struct(F.col(f"{prefix}doc_id").isNull().alias("none"), F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}line_no").alias("line_no"))
+
+
+def _distinct(lines: DataFrame, levels: str) -> DataFrame:
+    """a, b of every distinct line with words; place (of the first), many (equal lines), n, lo, hi (its parity sketch), p (its prefix)."""
+    # (never null, so that Spark sorts plain longs)
+    ranked = F.expr(f"sort_array(transform(hs, h -> shiftleft(cast(coalesce(get({levels}, cast(h & {COUNTERS - 1} AS int)), 0Y) AS bigint), 56) | h))")
+    fold = "aggregate(hs, 0L, (s, h) -> s ^ shiftleft(1L, cast(h & 63 AS int)))"
+    half = "aggregate(hs, 0L, (s, h) -> s ^ shiftleft(shiftrightunsigned(h, 6) & 1L, cast(h & 63 AS int)))"
+    sets = lines.where(F.size("hs") > 0).select(
+        "a", "b", _place().alias("place"), F.size("hs").alias("n"), F.expr(fold).alias("fold"),
+        F.when(F.size("hs") > WIDE, F.expr(half)).otherwise(F.lit(0).cast("long")).alias("hi"),
+        F.transform(F.slice(ranked, F.lit(1), F.size("hs") - F.ceil(F.size("hs") * NUM / DEN).cast("int") + 1),
+                    lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")).alias("p"))
+    return sets.groupBy("a", "b").agg(
+        F.min("place").alias("place"), F.count("*").alias("many"), F.first("n").alias("n"),
+        F.first(F.col("fold").bitwiseXOR(F.col("hi"))).alias("lo"), F.first("hi").alias("hi"), F.first("p").alias("p"))
 
 
 def _may_match(x: str, y: str):
-    """Length, positional and bitmap filters for rows that share a token.
+    """Length, positional and parity filters for rows that share a token.
 
     The positional filter takes the token for the first that the lines share, so
-    that a pair that matches passes at that token at least.
+    that a pair that matches passes at that token at least. A pair with a line too
+    large for its size to be carried passes.
     """
-    n, m = (F.shiftright(F.col(f"{r}.n_i"), 32) for r in (x, y))
-    i, j = (F.col(f"{r}.n_i").bitwiseAND((1 << 32) - 1) for r in (x, y))
-    apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
+    n, m = (F.shiftright(F.col(f"{r}.n_i"), 15) for r in (x, y))
+    i, j = (F.col(f"{r}.n_i").bitwiseAND((1 << 15) - 1) for r in (x, y))
+    lo, hi = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("lo", "hi"))
+    apart = F.when((n > WIDE) & (m > WIDE), F.bit_count(lo) + F.bit_count(hi)).otherwise(F.bit_count(lo.bitwiseXOR(hi)))
     both = n + m
     return (
         ((both - apart) * (NUM + DEN) >= both * 2 * NUM)
         & (F.least(n - i, m - j) * (NUM + DEN) >= both * NUM)
-    )
+    ) | (n == SIZED) | (m == SIZED)
 
 
-def _earlier(x: str, y: str):
-    """Whether x comes before y."""
-    return _place(f"{x}.") < _place(f"{y}.")
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """t, a, n_i, lo, hi: prefix tokens (31-bit hashes) of distinct lines that another line may match; n_i has the size and the token's place."""
+    size = F.call_function("shiftleft", F.least(F.col("n"), F.lit(SIZED)), F.lit(15))
+    rows = distinct.select("a", "n", "lo", "hi", F.posexplode_outer("p").alias("i", "t")).select(
+        "t", "a", size.bitwiseOR(F.least(F.col("i"), F.lit((1 << 15) - 1))).alias("n_i"), "lo", "hi")
+    # (all columns are in the condition, so that both sides have the same ones and one exchange)
+    return rows.alias("y").join(
+        rows.alias("x"), (F.col("x.t") == F.col("y.t")) & (F.col("x.a") != F.col("y.a")) & _may_match("x", "y"), "left_semi")
 
 
-def _candidates(lines: DataFrame, rarity: _Variable) -> DataFrame:
-    """t, a, doc_id, line_no, n_i, bits: prefix tokens of distinct lines that another line may match; n_i is n * 2^32 + i."""
-    # (never null, so that Spark sorts plain longs)
-    ranked = F.expr(f"sort_array(transform(hs, h -> coalesce(get({rarity.name}, cast(h & {COUNTERS - 1} AS int)), 0L) | h))")
-    sets = lines.where("n > 0").select(
-        "a", "b", "doc_id", "line_no", "n", F.expr("aggregate(hs, 0L, (s, h) -> s ^ shiftleft(1L, cast(h & 63 AS int)))").alias("bits"),
-        F.slice(ranked, F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1).alias("p"))
-    # plain columns throughout: a field taken out of a struct here is lost on the way to the semi-join's condition
-    first = sets.groupBy("a", "b").agg(
-        F.min_by("doc_id", _place()).alias("doc_id"), F.min_by("line_no", _place()).alias("line_no"),
-        F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("p").alias("p"))
-    rows = first.select("a", "doc_id", "line_no", "n", "bits", F.posexplode_outer("p").alias("i", "t")).select(
-        "t", "a", "doc_id", "line_no", F.expr("shiftleft(cast(n AS bigint), 32) | i").alias("n_i"), "bits")
-    # a tells rows apart; naming the places too gives both sides the same columns, and so one exchange for both
-    same = (F.col("x.a") == F.col("y.a")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.line_no") == F.col("y.line_no"))
-    found = rows.alias("y").join(rows.alias("x"), (F.col("x.t") == F.col("y.t")) & ~same & _may_match("x", "y"), "left_semi")
-    return written(found, "line-candidates")
-
-
-def _sets_of(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """a, b, p of the lines at ``places``; a filter of fixed size keeps most others from being shuffled."""
-    at = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(FILTER_BITS))
-    words = places.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("m"))
-    words = words.groupBy("w").agg(F.bit_or("m").alias("m"))
-    bits = _Variable(_dense(words, FILTER_BITS >> 6, "w", F.col("m"), F.lit(0).cast("long")), "ARRAY<BIGINT>")
-    kept = lines.where(F.expr(
-        f"(shiftrightunsigned(get({bits.name}, cast(pmod(xxhash64(doc_id, line_no), {FILTER_BITS}) >> 6 AS int)),"
-        f" cast(pmod(xxhash64(doc_id, line_no), {FILTER_BITS}) & 63 AS int)) & 1) = 1"))
-    return written(kept.groupBy("a", "b").agg(F.first("hs").alias("p")), "line-sets")
+def _fetch_bits(names: DataFrame) -> DataFrame:
+    """One array: a bit for every name ``a``."""
+    at = F.pmod("a", F.lit(FILTER_BITS))
+    return dense(names.groupBy(F.shiftright(at, 6).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("v")), FILTER_BITS >> 6)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the later lines of ``pairs`` (a, xa) whose sets are similar enough."""
-    own = sets.withColumnRenamed("p", "p_own")
-    other = sets.select(F.col("a").alias("xa"), F.col("p").alias("p_other"))
-    both = F.size("p_own") + F.size("p_other")
+    own = sets.withColumnRenamed("hs", "own")
+    other = sets.select(F.col("a").alias("xa"), F.col("hs").alias("other"))
+    both = F.size("own") + F.size("other")
     return pairs.join(own, "a").join(other, "xa").where(
-        F.size(F.array_intersect("p_own", "p_other")) * (NUM + DEN) >= both * NUM).select("a", "b").distinct()
+        F.size(F.array_intersect("own", "other")) * (NUM + DEN) >= both * NUM).select("a", "b").distinct()
 
 
-def _later_matches(lines: DataFrame) -> DataFrame:
-    """a, b of the distinct lines that match an earlier one."""
-    rows = _candidates(lines, _rarity(lines))
-    sets = _sets_of(lines, rows.select("doc_id", "line_no"))
-    pivot = rows.groupBy("t").agg(
-        F.min(F.struct(_place().alias("place"), "a", "doc_id", "line_no", "n_i", "bits")).alias("x")).select("t", "x.*")
+def _later_matches(lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b of the distinct lines that match an earlier one, from two tables."""
+    found = written(_candidates(distinct), "line-candidates")
+    with ArrayVariable(_fetch_bits(found)) as bits:
+        wanted = F.expr(f"(shiftrightunsigned(get({bits}, cast(pmod(a, {FILTER_BITS}) >> 6 AS int)), cast(pmod(a, {FILTER_BITS}) & 63 AS int)) & 1) = 1")
+        sets = written(lines.where(wanted).groupBy("a", "b").agg(F.first("hs").alias("hs")), "line-sets")
+        rows = written(found.join(distinct.where(wanted).select("a", "place"), "a"), "line-rows")
+    discard(found)
+    pivot = rows.groupBy("t").agg(F.min(F.struct("place", "a", "n_i", "lo", "hi")).alias("x")).select("t", "x.*")
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
         """The pairs as a table, so that what led to them is gone before their sets are fetched."""
         met = later.alias("y").join(
             earlier.alias("x"),
-            (F.col("x.t") == F.col("y.t")) & (F.col("x.a") != F.col("y.a")) & _may_match("x", "y") & _earlier("x", "y"))
+            (F.col("x.t") == F.col("y.t")) & (F.col("x.a") != F.col("y.a")) & _may_match("x", "y") & (F.col("x.place") < F.col("y.place")))
         return written(met.select("y.a", F.col("x.a").alias("xa")).distinct(), "line-pairs")
 
-    settled = written(_verified(pairs(rows, pivot), sets), "line-matches")
-    rest = rows.join(settled.select("a"), "a", "left_anti")
-    return settled.union(written(_verified(pairs(rest, rows), sets), "line-matches"))
+    first = pairs(rows, pivot)
+    settled = written(_verified(first, sets), "line-matches")
+    second = pairs(rows.join(settled.select("a"), "a", "left_anti"), rows)
+    others = written(_verified(second, sets), "line-matches")
+    discard(sets, rows, first, second)
+    return settled, others
 
 
 def line_matches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, removed_lines (numbers from 0, in order) of every document that loses lines."""
-    lines = written(_lines(docs), "line-words", compression="zstd")
-    matched = _later_matches(lines).withColumn("similar", F.lit(True))
-    firsts = lines.where("n > 0").groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-    judged = firsts.join(matched, ["a", "b"], "left").where("n > 1 or similar")
-    gone = lines.select("doc_id", "text_hash", "line_no", "a", "b").join(judged, ["a", "b"]).where(
-        F.coalesce("similar", F.lit(False)) | (F.col("first") < _place()))
-    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
-
-
-def _own(text_hash):
-    """Whether removals (_d, _h) are those of the row."""
-    return F.col("doc_id").eqNullSafe(F.col("_d")) & (text_hash == F.col("_h"))
+    """A table of doc_id, text_hash, removed_lines (numbers from 0, in order) of every document that loses lines."""
+    lines = written(_lines(docs.select("doc_id", "text")), "line-words", **{"compression": "zstd", "parquet.enable.dictionary#hs.list.element": "false"})
+    with ArrayVariable(_levels(lines), "TINYINT") as levels:
+        distinct = written(_distinct(lines, levels), "line-distinct", compression="zstd")
+    settled, others = _later_matches(lines, distinct)
+    total = distinct.agg(F.sum("many")).first()[0] or 0
+    judged = written(
+        distinct.select("a", "b", "place", "many").join(settled.union(others).withColumn("similar", F.lit(True)), ["a", "b"], "left").where("many > 1 OR similar"),
+        "line-judged")
+    discard(distinct, settled, others)
+    hot = F.broadcast(judged.where(F.col("many") * HEAVY >= total).select("a", "b", F.lit(True).alias("hot")))  # HEAVY rows at most
+    own = lines.select("doc_id", "text_hash", "line_no", "a", "b").join(hot, ["a", "b"], "left").withColumn(
+        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS))).otherwise(0).cast("int"))
+    dealt = judged.join(hot, ["a", "b"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
+    gone = own.drop("hot").join(dealt.drop("hot"), ["a", "b", "salt"]).where(F.coalesce("similar", F.lit(False)) | (F.col("place") < _place()))
+    removed = written(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "line-removed")
+    discard(lines, judged)
+    return removed
+
+
+def _with_removed(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` of every row, and removed (the numbers of its lines to remove, or null)."""
+    removed = line_matches(docs).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), F.col("removed_lines").alias("removed"))
+    keyed = docs.select(F.col("doc_id").alias("own"), F.xxhash64("text").alias("own_hash"), *columns)
+    return keyed.join(removed, F.col("own").eqNullSafe(F.col("of")) & (F.col("own_hash") == F.col("of_hash")), "left")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines for every row of ``docs``."""
-    removed = line_matches(docs).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
-    sized = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
-    return sized.join(removed, _own(F.col("text_hash")), "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"),
-        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return _with_removed(docs, n_lines.alias("n_lines")).select(
+        F.col("own").alias("doc_id"), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -217,12 +217,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Documents are never dropped: one that loses all its lines has an empty text.
     """
-    names = docs.columns
-    removed = line_matches(docs).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
-    met = docs.join(removed, _own(F.xxhash64("text")), "left")
-    changed = F.col("removed_lines").isNotNull()
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    out = met.withColumn("text", F.when(changed, kept).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no name clashes
+    text, changed = F.col("row")["text"], F.col("removed").isNotNull()
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    new = {"text": F.when(changed, kept).otherwise(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return _with_removed(docs, row).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -60,14 +60,59 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = fresh_path(spark, name)
     with shuffles_dropped(spark):
         df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` gave, once all that is made from them is itself written."""
+    for table in tables:
+        _delete(table.sparkSession, table.stored_at)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables written so far; frames that read them stop working."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/regulonspark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/regulonspark")
+
+
+class ArrayVariable:
+    """A session variable with the one array that ``frame`` holds, a constant in the plans that read it.
+
+    For arrays of a fixed size only. It is dropped when the ``with`` block ends, so all
+    that reads it has to be written inside.
+    """
+
+    def __init__(self, frame: DataFrame, element: str = "BIGINT"):
+        self.spark, self.element = frame.sparkSession, element
+        self.name = f"session.v{uuid.uuid4().hex}"
+        self.table = written(frame, "variable")
+
+    def __enter__(self) -> str:
+        view = f"t{uuid.uuid4().hex}"
+        self.table.createOrReplaceTempView(view)
+        self.spark.sql(f"DECLARE VARIABLE {self.name} ARRAY<{self.element}>")
+        self.spark.sql(f"SET VAR {self.name} = (SELECT * FROM {view})")
+        self.spark.catalog.dropTempView(view)
+        discard(self.table)
+        return self.name
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {self.name}")
+
+
+def dense(rows: DataFrame, size: int, width: int = 1 << 10) -> DataFrame:
+    """One row with an array ``vs`` of ``size`` longs: the bits of all ``v`` of the rows numbered ``at``, else 0."""
+    zeros = rows.sparkSession.range(size).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("v"))
+    filled = rows.select("at", "v").union(zeros).groupBy("at").agg(F.bit_or("v").alias("v"))
+    parts = filled.groupBy(F.shiftright("at", width.bit_length() - 1).alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vs"))
+    return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "vs"))), lambda x: x["vs"])).alias("vs"))
 
 
 def word_count(col):
