@@ -35,7 +35,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk_nra.top_k(_table(spark, sf_dir, "embeddings"))
+    return topk_nra.top_k(_table(spark, sf_dir, "embeddings")).drop("read_share")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
