@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import ArrayVariable, dense, discard, written
+from .work import ArrayVariable, dense, discard, salted_join, written
 
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
@@ -47,8 +47,6 @@ NUM, DEN = 4, 5
 COUNTERS, FILTER_BITS = 1 << 20, 1 << 23
 #: Lines of more words have the wider sketch; words up to which a line's size is carried exactly in the filters.
 WIDE, SIZED = 80, (1 << 16) - 1
-#: Equal lines are dealt over SALTS tasks if they are more than one in HEAVY of all lines; so at most HEAVY groups are.
-HEAVY, SALTS = 4096, 64
 _BLANKS = "\t\x0b\x0c\r"
 _HASH = (1 << 56) - 1
 
@@ -187,11 +185,8 @@ def line_matches(docs: DataFrame) -> DataFrame:
         distinct.select("a", "b", "place", "many").join(settled.union(others).withColumn("similar", F.lit(True)), ["a", "b"], "left").where("many > 1 OR similar"),
         "line-judged")
     discard(distinct, settled, others)
-    hot = F.broadcast(judged.where(F.col("many") * HEAVY >= total).select("a", "b", F.lit(True).alias("hot")))  # HEAVY rows at most
-    own = lines.select("doc_id", "text_hash", "line_no", "a", "b").join(hot, ["a", "b"], "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS))).otherwise(0).cast("int"))
-    dealt = judged.join(hot, ["a", "b"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
-    gone = own.drop("hot").join(dealt.drop("hot"), ["a", "b", "salt"]).where(F.coalesce("similar", F.lit(False)) | (F.col("place") < _place()))
+    met = salted_join(lines.select("doc_id", "text_hash", "line_no", "a", "b"), judged, ["a", "b"], ["doc_id", "line_no"], total)
+    gone = met.where(F.coalesce("similar", F.lit(False)) | (F.col("place") < _place()))
     removed = written(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "line-removed")
     discard(lines, judged)
     return removed

@@ -115,6 +115,24 @@ def dense(rows: DataFrame, size: int, width: int = 1 << 10) -> DataFrame:
     return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "vs"))), lambda x: x["vs"])).alias("vs"))
 
 
+#: Keys of more than one in HEAVY of all rows are dealt over SALTS tasks; so there are HEAVY such keys at most.
+HEAVY, SALTS = 4096, 64
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], place: list[str], total: int) -> DataFrame:
+    """``rows`` left-joined on ``keys`` with ``table``, without its column ``many``.
+
+    ``table``, a written one, has a row per key, and in ``many`` how many rows of all
+    ``total`` have the key. Heavy keys are repeated for every salt; a row's salt is a hash of its
+    columns ``place``, so it is the same if a task runs again.
+    """
+    hot = F.broadcast(table.where(F.col("many") * HEAVY >= total).select(*keys, F.lit(True).alias("_hot")))  # HEAVY rows at most
+    mine = F.when(F.col("_hot"), F.pmod(F.xxhash64(*place), F.lit(SALTS))).otherwise(0).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))
+    dealt = table.drop("many").join(hot, keys, "left").withColumn("_salt", every).drop("_hot")
+    return rows.join(hot, keys, "left").withColumn("_salt", mine).drop("_hot").join(dealt, [*keys, "_salt"], "left").drop("_salt")
+
+
 def word_count(col):
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
