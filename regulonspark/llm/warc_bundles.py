@@ -8,10 +8,13 @@ frame, and offset and length within the decompressed frame, so a record is
 read with two reads and one frame's decompression.
 
 Of records with equal payloads, the one with the smallest id is a ``response``;
-the others are ``revisit`` records without a body that name its record id, its
-digest, and its length. The comparison is by SHA-1 digest in the shuffle, of
-narrow rows; the payloads move once, and only where the list of repeated
-digests is too large to be sent around.
+the others are ``revisit`` records without a body that name its page, its URL, its
+digest, and its length. The comparison is by SHA-1 digest, of narrow rows; payloads
+move at most once, to meet the list of repeated digests, and those that very many
+pages share are dealt over many tasks.
+
+A record's id is made from its bundle's name and its number there, so that no two
+records have the same, whatever their pages have in common.
 
 Bundles are written under a name of their own and renamed when complete; the
 index names those that count, so a task that is run again after an executor
@@ -39,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import fresh_path, written
+from .work import fresh_path, salted_join, written
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -57,17 +60,16 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id, url: str | None, nth: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {url} {nth}')}>"
+def record_id(bundle: str, nth: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{bundle} {nth}')}>"
 
 
 def _text(value) -> str:
     return " ".join(str(value).split())
 
 
-def make_record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, nth: int = 0) -> tuple[str, bytes]:
-    """(record id, bytes) of a WARC 1.1 record with an HTTP response block."""
-    name = record_id(page_id, url, nth)
+def make_record(name: str, page_id, url: str | None, payload: bytes, refers_to=None, refers_url: str | None = None, revisit: bool = False) -> bytes:
+    """A WARC 1.1 record, with ``name`` for its id and an HTTP response block."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = [
         "WARC/1.1",
@@ -82,11 +84,12 @@ def make_record(page_id, url: str | None, payload: bytes, refers_to=None, revisi
     ]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                 f"WARC-Refers-To-Target-URI: {_text(refers_url or '')}",
                  f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     else:
         block += payload
     head += [f"Content-Length: {len(block)}", "", ""]
-    return name, "\r\n".join(head).encode() + block + b"\r\n\r\n"
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -175,16 +178,17 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def marked_pages(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload, revisit, refers_to."""
+    """page_id, url, payload, revisit, refers_to, refers_url."""
     base = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    repeated = base.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(
-        F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return base.join(repeated, "digest", "left").select(
-        "page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    place = F.struct(F.col("page_id").isNull(), F.col("page_id").alias("refers_to"), F.col("url").alias("refers_url"))
+    repeated = written(base.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(
+        F.count("*").alias("many"), F.min(place).alias("first")).where("many > 1").select("digest", "many", "first.refers_to", "first.refers_url"), "warc-digests")
+    met = salted_join(base, repeated, ["digest"], ["page_id", "url"], pages.count())
+    revisit = F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col("page_id"))
+    return met.select("page_id", "url", "payload", revisit.alias("revisit"), *(F.when(revisit, F.col(c)).alias(c) for c in ("refers_to", "refers_url")))
 
 
 def write_bundles(
@@ -201,7 +205,7 @@ def write_bundles(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _place(folder)
-        writer, temp, final, rows, seen = None, "", "", [], {}
+        writer, temp, final, rows = None, "", "", []
 
         def finish() -> pa.RecordBatch:
             nonlocal writer, rows
@@ -224,14 +228,12 @@ def write_bundles(
                         name = uuid.uuid4().hex
                         temp, final = f"{root}/.{name}.part", f"{root}/{name}.warc.zst"
                         writer = BundleWriter(fs.open_output_stream(temp), frame_bytes, level)
-                    key = (row["page_id"], row["url"])
-                    nth = seen[key] = seen.get(key, -1) + 1 if key in seen else 0
-                    rid, data = make_record(row["page_id"], row["url"], row["payload"], row["refers_to"], row["revisit"], nth)
+                    rid = record_id(name, len(rows))
+                    data = make_record(rid, row["page_id"], row["url"], row["payload"], row["refers_to"], row["refers_url"], row["revisit"])
                     rows.append((row["page_id"], rid, f"{folder}/{final.rpartition('/')[2]}", *writer.add(data),
                                  "revisit" if row["revisit"] else "response"))
                     if writer.size >= bundle_bytes:
                         yield finish()
-                        seen = {}
         if writer is not None:
             yield finish()
 
