@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import salted_join, written
 
 #: Samples of a pixel row (64 pixels of three bytes): payloads are padded to a multiple.
 ROW = 192
@@ -54,7 +54,7 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent = 0
-        self.figures: list[list[int]] = []
+        self.figures: list[tuple[list[int], list[str]]] = []  # of each open figure, its media and captions
         self.caption: list[str] | None = None
 
     def end_block(self) -> None:
@@ -63,6 +63,34 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"pos": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        if self.figures:
+            self.figures[-1][1].append(text)
+        else:
+            self.words.append(text)
+            self.end_block()
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.end_block()
+        media, captions = self.figures.pop()
+        text = " ".join(filter(None, captions))
+        if text and not media:
+            self.words.append(text)
+            self.end_block()
+        for at in media if text else ():
+            self.items[at]["caption"] = text
+
+    def end(self) -> list[dict]:
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.end_block()
+        return self.items
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SILENT:
             self.silent += 1
@@ -71,29 +99,33 @@ class _Sequence(HTMLParser):
             if ref := named.get("src") or named.get("data"):
                 self.end_block()
                 if self.figures:
-                    self.figures[-1].append(len(self.items))
+                    self.figures[-1][0].append(len(self.items))
                 self.items.append({"pos": len(self.items), "kind": "media", "text": None, "ref": ref, "caption": named.get("alt")})
         elif tag == "figcaption":
+            self.end_caption()
             self.end_block()
             self.caption = []
         elif tag in _BLOCKS:
+            if tag == "figure":
+                self.end_caption()
             self.end_block()
+            if self.caption is not None:
+                self.caption.append(" ")
             if tag == "figure":
-                self.figures.append([])
+                self.figures.append(([], []))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for at in self.figures[-1] if self.figures else []:
-                self.items[at]["caption"] = text
-            if not self.figures and text:
-                self.words.append(text)
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            if self.figures:
+                self.end_figure()
         elif tag in _BLOCKS:
             self.end_block()
-            if tag == "figure" and self.figures:
-                self.figures.pop()
+            if self.caption is not None:
+                self.caption.append(" ")
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -101,12 +133,14 @@ class _Sequence(HTMLParser):
 
 
 def parse_html(html: str | None) -> list[dict]:
-    """The ordered items of a page; a figure's caption goes to the media before it in the figure."""
+    """The ordered items of a page; a figure's caption, wherever it stands in it, goes to all its media.
+
+    A caption without media is text; one that is not closed ends with its figure.
+    """
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.end_block()
-    return parser.items
+    return parser.end()
 
 
 def sequences(pages: DataFrame, *, id_col: str, html_col: str = "html") -> DataFrame:
@@ -205,7 +239,7 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """digest and what the stored bytes say of themselves, one row per digest."""
+    """digest and what the stored bytes say of themselves, one row per digest, and many: how often it is stored."""
     schema = ("digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
               "media_sha256 string, feature string")
 
@@ -221,21 +255,27 @@ def describe_media(media: DataFrame) -> DataFrame:
                                  len(stored), hashlib.sha256(stored).hexdigest(), feature_of(samples)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return media.select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
+    found = media.select("digest", "media").mapInArrow(run, schema)
+    return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns[1:]], F.count("*").alias("many"))
+
 
+def resolve(pages: DataFrame, media: DataFrame, *, id_col: str, total: int | None = None) -> DataFrame:
+    """id_col, pos, caption, digest and the columns of ``media`` (unique in digest) for every media reference.
 
-def resolve(pages: DataFrame, media: DataFrame, *, id_col: str) -> DataFrame:
-    """id_col, pos, caption, digest and the columns of ``media`` (unique in digest) for every media reference."""
+    With ``total``, ``media`` is a written table whose column ``many`` says how many of the
+    ``total`` references have the digest; those of very many are dealt over tasks.
+    """
     refs = pages.select(id_col, F.explode("items").alias("_item")).where("_item.kind = 'media'").select(
         id_col, F.col("_item.pos").alias("pos"), F.col("_item.caption").alias("caption"),
         F.regexp_replace("_item.ref", "^sha256:", "").alias("digest"))
-    return refs.join(media, "digest", "left")
+    return refs.join(media, "digest", "left") if total is None else salted_join(refs, media, ["digest"], [id_col, "pos"], total)
 
 
 def document_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature per row of ``docs``."""
     stored = store_media(docs)
-    found = resolve(sequences(stored, id_col="doc_id"), describe_media(stored), id_col="doc_id")
+    described = written(describe_media(stored), "media-features")
+    found = resolve(sequences(stored, id_col="doc_id"), described, id_col="doc_id", total=stored.count())
     return found.select(
         "doc_id", F.regexp_extract("caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), "payload_bytes",
         "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
