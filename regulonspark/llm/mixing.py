@@ -106,20 +106,23 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     def key(size):
         return F.md5(F.to_json(F.struct(F.col("doc_id"), F.col("source"), size.alias("size"))))
 
-    plan = mix_plan(docs, **how).groupBy(key(F.col("size")).alias("_key")).agg(
-        F.first("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows")).where("_taken > 0")
-    joined = docs.withColumn("_key", key(word_count(F.col("text")))).join(plan, "_key")
+    plan = mix_plan(docs, **how).groupBy(key(F.col("size")).alias("key")).agg(
+        F.first("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    # the columns of docs go as one, so that no name clashes
+    packed = docs.select(key(word_count(F.col("text"))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = packed.join(plan, "key")
+    text = F.col("row")["text"]
     # rows that agree in id, source and size share their words evenly, the first ones take what is left over
-    turn = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64("text"))) - 1
-    mine = F.floor(F.col("_taken") / F.col("_rows")) + F.when(turn < F.col("_taken") % F.col("_rows"), 1).otherwise(0)
-    joined = joined.withColumn("_mine", mine.cast("long")).where("_mine > 0")
-    whole = F.floor(F.col("_mine") / F.col("_size")).cast("int")
-    left = (F.col("_mine") % F.col("_size")).cast("int")
+    turn = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64(text))) - 1
+    mine = F.floor(F.col("taken") / F.col("rows")) + F.when(turn < F.col("taken") % F.col("rows"), 1).otherwise(0)
+    joined = joined.withColumn("mine", mine.cast("long")).where("mine > 0")
+    whole = F.floor(F.col("mine") / F.col("size")).cast("int")
+    left = (F.col("mine") % F.col("size")).cast("int")
     sizes = F.concat(F.array_repeat(F.lit(-1), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<int>")))
-    copies = joined.withColumn("_cut", F.explode(sizes))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.greatest(F.col("_cut"), F.lit(0))), " ")
-    text = F.when(F.col("_cut") < 0, F.col("text")).otherwise(cut)
-    out = copies.withColumn("text", text)
+    copies = joined.withColumn("cut", F.explode(sizes))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.lit(1), F.greatest(F.col("cut"), F.lit(0))), " ")
+    new = {"text": F.when(F.col("cut") < 0, text).otherwise(cut)}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+        kept = F.col("row")["n_chars"]
+        new["n_chars"] = F.when(F.col("cut") < 0, kept).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return copies.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
