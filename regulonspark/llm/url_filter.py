@@ -4,8 +4,11 @@ A rule is a host and a path. It fits the host and all its subdomains where the
 URL's path starts with the rule's path; the longest fitting rule decides. Each
 URL has a few canonical keys (a suffix of its host at a label border, and a
 prefix of its path as long as some rule's path). The keys are tested against a
-blocked Bloom filter of all rules, of a size fixed by a parameter; what passes
+blocked Bloom filter of all rules, of a size fixed by a parameter (hosts first, so
+that paths are only cut for hosts that some rule may have); what passes
 goes to an exact hash join with the rules, which removes the false positives.
+Each host and path is judged once. The verdicts are joined to the rows, where hosts
+and paths that very many rows share are dealt over many tasks.
 All of it is DataFrame expressions.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
@@ -20,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import HEAVY, salted_join, written
+
 #: The rules of the contract: host, path, verdict.
 RULES = [
     ("com", "/", "allow"),
@@ -32,7 +37,9 @@ DEFAULT_VERDICT = "allow"
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    rows = [F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(rule, ("host", "path", "verdict")))) for rule in rules]
+    kind = "array<struct<host:string,path:string,verdict:string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def _lower_ascii(col):
@@ -49,9 +56,9 @@ def url_parts(url):
     return host, path
 
 
-def _hashed(host, path, blocks: int):
+def _hashed(blocks: int, *key):
     """Block number and 64-bit mask of a key: four bits of one word."""
-    h = F.xxhash64(host, path)
+    h = F.xxhash64(*key)
     block = F.pmod(h, F.lit(blocks)).cast("int")
     bits = [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63)).cast("int") for s in (40, 46, 52, 58)]
     mask = F.lit(0).cast("long")
@@ -60,9 +67,9 @@ def _hashed(host, path, blocks: int):
     return block, mask
 
 
-def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
-    """One row: the filter as an array of ``blocks`` 64-bit words."""
-    block, mask = _hashed(F.col("host"), F.col("path"), blocks)
+def bloom_words(rules: DataFrame, blocks: int, *key: str) -> DataFrame:
+    """One row: the filter of the rules' columns ``key`` as an array of ``blocks`` 64-bit words."""
+    block, mask = _hashed(blocks, *map(F.col, key))
     words = rules.select(block.alias("b"), mask.alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
     packed = words.agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("w"))
     return packed.select(
@@ -93,29 +100,37 @@ def judge_urls(
         raise ValueError("blocks must be from 1 to 1,000,000")
     rules = rules.where("host is not null and path is not null").groupBy(
         F.lower("host").alias("host"), "path").agg(F.max("verdict").alias("verdict"))
-    words = bloom_words(rules, blocks).scalar()
+    hosts, words = (bloom_words(rules, blocks, *key).scalar() for key in (["host"], ["host", "path"]))
     lengths = rules.agg(F.coalesce(F.array_sort(F.collect_set(F.length("path"))), F.array().cast("array<int>"))).scalar()
 
+    def passes(filter_, *key):
+        block, mask = _hashed(blocks, *key)
+        return F.get(filter_, block).bitwiseAND(mask) == mask
+
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
+    known = parts.groupBy("host", "path").agg(F.count("*").alias("many"))
     labels = F.split("host", r"\.")
     keys = (
-        parts.select("host", "path").distinct()
-        .withColumn("labels", labels)
+        known.select("host", "path").withColumn("labels", labels)
         .withColumn("h", F.explode(F.transform(
             F.sequence(F.lit(1), F.size("labels")),
             lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))))
+        .where(passes(hosts, F.col("h")))
         .withColumn("n", F.explode(lengths))
         .where(F.col("n") <= F.length("path"))
         .withColumn("p", F.expr("left(path, n)"))
     )
-    block, mask = _hashed(F.col("h"), F.col("p"), blocks)
-    possible = keys.where(F.get(words, block).bitwiseAND(mask) == mask).select("host", "path", "h", "p")
+    possible = keys.where(passes(words, F.col("h"), F.col("p"))).select("host", "path", "h", "p")
     exact = possible.join(
         rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict"), ["h", "p"])
     best = exact.groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("h", "p").alias("rule"), F.col("verdict").alias("verdict")),
                  F.struct(F.length("h") + F.length("p"), F.length("h"))).alias("best"))
-    return parts.join(best, ["host", "path"], "left").select(
-        F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
-        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    total = pages.count()
+    # (rows without a rule are in the table only where they are very many of one kind)
+    judged = written(
+        known.join(best, ["host", "path"], "left").where(F.col("best").isNotNull() | (F.col("many") * HEAVY >= total))
+        .select("host", "path", "many", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-verdicts")
+    return salted_join(parts, judged, ["host", "path"], ["_id"], total).select(
+        F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
