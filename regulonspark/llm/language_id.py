@@ -68,7 +68,7 @@ def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
         for n in range(2, order + 1):
             power = power * _MUL
             h = out[-1].copy()
-            h[n - 1 :] += mixed[: len(codes) - n + 1] * power
+            h[n - 1 :] += mixed[: max(0, len(codes) - n + 1)] * power
             out.append(h)
         return out
 
