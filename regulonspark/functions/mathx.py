@@ -1,12 +1,17 @@
 """Normal distribution functions as SQL expressions of built-in functions.
 
-Each function takes the SQL text of its argument and returns SQL text that
+Each text function takes the SQL text of its argument and returns SQL text that
 Spark and other engines evaluate alike, so that they stay inside generated
-code and a query can be checked elsewhere with the very same formula.
+code and a query can be checked elsewhere with the very same formula. The functions
+of frames below them add the same values as a column, step by step, so that
+nothing is computed twice and plans stay small however they are nested.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 EPS = 2.0**-52
 
 # Algorithm AS 241 (PPND16), lowest power first.
@@ -98,3 +103,50 @@ def log_quantile(lp: str) -> str:
 
 def sigmoid(x: str, slope: str = "20", inflection: str = "0.5") -> str:
     return f"1 / (1 + exp(-({slope}) * (({x}) - ({inflection}))))"
+
+
+def _horner(coefficients, x: Column) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
+
+
+def _far_quantile(r: Column) -> Column:
+    """The upper quantile of p for r = sqrt(-ln p), p below 0.075."""
+    near, far = r - 1.6, r - 5.0
+    return F.when(r <= 5, _horner(_C, near) / _horner(_D, near)).otherwise(_horner(_E, far) / _horner(_F, far))
+
+
+def _middle_quantile(q: Column, s: Column) -> Column:
+    return q * _horner(_A, s) / _horner(_B, s)
+
+
+def add_ppf(frame: DataFrame, p: str, out: str) -> DataFrame:
+    """``frame`` with the normal quantile of column ``p``, clamped to [eps, 1 - eps], as column ``out``."""
+    c = F.col("_p")
+    f = frame.withColumn("_p", F.least(F.greatest(F.col(p), F.lit(EPS)), F.lit(1 - EPS)))
+    f = f.withColumns({"_q": c - 0.5, "_s": 0.180625 - (c - 0.5) * (c - 0.5), "_r": F.sqrt(-F.log(F.least(c, 1 - c)))})
+    q, s, r = F.col("_q"), F.col("_s"), F.col("_r")
+    value = F.when(F.abs(q) <= 0.425, _middle_quantile(q, s)).otherwise(F.signum(q) * _far_quantile(r))
+    return f.withColumn(out, value).drop("_p", "_q", "_s", "_r")
+
+
+def add_logsf(frame: DataFrame, x: Column, out: str) -> DataFrame:
+    """``frame`` with the logarithm of the normal's upper tail at ``x`` as column ``out``."""
+    f = frame.withColumn("_x", x).withColumn("_a", F.abs("_x"))
+    a = F.col("_a")
+    cf = a + 0.65
+    for k in (4, 3, 2, 1):
+        cf = a + k / cf
+    ratio = F.when(a < _SWITCH, _horner(_P, a) / _horner(_Q, a)).otherwise(1 / (cf * _ROOT_2PI))
+    f = f.withColumn("_t", ratio).withColumn("_t", -0.5 * a * a + F.log("_t"))
+    return f.withColumn(out, F.when(F.col("_x") >= 0, F.col("_t")).otherwise(F.log(1 - F.exp("_t")))).drop("_x", "_a", "_t")
+
+
+def add_log_quantile(frame: DataFrame, lp: str, out: str) -> DataFrame:
+    """``frame`` with the upper quantile of exp(``lp``), lp <= ln 0.5, as column ``out``."""
+    q = 0.5 - F.exp(lp)
+    f = frame.withColumns({"_q": q, "_s": 0.180625 - q * q, "_r": F.sqrt(-F.col(lp))})
+    value = F.when(F.col(lp) >= -2.590267165445827, _middle_quantile(F.col("_q"), F.col("_s"))).otherwise(_far_quantile(F.col("_r")))
+    return f.withColumn(out, value).drop("_q", "_s", "_r")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import mathx
 from ..functions.ranks import average_rank, top_and_bottom
-from .common import sized_broadcast
 
 
 def labelled(m: DataFrame, clusters: DataFrame | None) -> DataFrame:
@@ -19,7 +18,7 @@ def labelled(m: DataFrame, clusters: DataFrame | None) -> DataFrame:
     if clusters is None:
         return m.withColumn("cluster", F.lit("0"))
     c = clusters.toDF("sample", "cluster").select(F.col("sample").cast("string").alias("sample"), F.col("cluster").cast("string").alias("cluster"))
-    return m.join(sized_broadcast(c), "sample")
+    return m.join(c, "sample")
 
 
 def _sums(m: DataFrame, clusters: DataFrame | None) -> DataFrame:
@@ -54,7 +53,7 @@ def median_diffs(m: DataFrame, clusters: DataFrame) -> DataFrame:
     """cluster, feature, score: the median inside minus the median outside."""
     lab = labelled(m, clusters)
     each = lab.select("cluster").distinct().withColumnRenamed("cluster", "own")
-    both = lab.join(sized_broadcast(each), how="cross").groupBy("own", "feature").agg(
+    both = lab.crossJoin(each).groupBy("own", "feature").agg(
         (F.median(F.when(F.col("cluster") == F.col("own"), F.col("value"))) - F.median(F.when(F.col("cluster") != F.col("own"), F.col("value")))).alias("score"))
     return both.select(F.col("own").alias("cluster"), "feature", "score")
 
@@ -75,7 +74,7 @@ def mwu(m: DataFrame, clusters: DataFrame) -> DataFrame:
 def closeness(vectors: DataFrame, clusters: DataFrame | None) -> DataFrame:
     """sample, cluster, closeness of every sample to every cluster's centre: 1 - sqrt(1 - correlation)."""
     c = labelled(vectors, clusters).groupBy("cluster", "feature").agg(F.avg("value").alias("centre"))
-    j = vectors.join(sized_broadcast(c), "feature").groupBy("sample", "cluster").agg(F.corr("value", "centre").alias("r"))
+    j = vectors.join(c, "feature").groupBy("sample", "cluster").agg(F.corr("value", "centre").alias("r"))
     return j.select("sample", "cluster", (1 - F.sqrt(F.greatest(1 - F.col("r"), F.lit(0.0)))).alias("closeness"))
 
 

@@ -1,4 +1,4 @@
-"""Long-format frames and joins that respect sizes.
+"""Long-format frames.
 
 matrix: sample, feature, value; network: regulator, target, mor, likelihood;
 activity: sample, regulator, nes (and pes). Zeros are data: a matrix has a row
@@ -10,14 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that are sent to every executor at most; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def sized_broadcast(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``frame`` with a broadcast hint if a count of at most rows + 1 of its rows finds it small enough."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
-
+from ..sources.store import written
 
 def as_matrix(frame: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
     return frame.select(F.col(sample).cast("string").alias("sample"), F.col(feature).cast("string").alias("feature"),
@@ -27,8 +20,10 @@ def as_matrix(frame: DataFrame, sample: str, feature: str, value: str) -> DataFr
 def from_wide(frame: DataFrame, sample: str) -> DataFrame:
     """One row per cell of a frame with a column per feature."""
     names = [c for c in frame.columns if c != sample]
-    cast = frame.select(F.col(sample).cast("string").alias("sample"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
-    return cast.unpivot("sample", names, "feature", "value").select("sample", "feature", "value")
+    # by number, as a feature's name can be anything (a dot in it, or "sample")
+    cast = frame.select(F.col(f"`{sample}`").cast("string").alias("_sample"), *[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{k}").alias("value")) for k, c in enumerate(names)]))
+    return cast.select(F.col("_sample").alias("sample"), cells.alias("cell")).select("sample", "cell.feature", "cell.value")
 
 
 def from_vectors(frame: DataFrame, sample: str, vector: str) -> DataFrame:
@@ -42,9 +37,13 @@ def to_wide(matrix: DataFrame, value: str = "value", row: str = "sample", column
 
 
 def densify(matrix: DataFrame, fill: float = 0.0) -> DataFrame:
-    """The matrix with a row for every sample and feature that occur in it."""
+    """The matrix with a row for every sample and feature that occur in it.
+
+    The cells are samples times features by nature, as many as the result has rows.
+    """
+    matrix = written(matrix, "matrix")
     samples, features = matrix.select("sample").distinct(), matrix.select("feature").distinct()
-    cells = samples.join(sized_broadcast(features), how="cross")
+    cells = samples.crossJoin(features)
     return cells.join(matrix, ["sample", "feature"], "left").select(
         "sample", "feature", F.coalesce("value", F.lit(fill)).alias("value"))
 

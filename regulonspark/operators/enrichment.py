@@ -2,7 +2,8 @@
 
 ``area``: quantile-transformed ranks, weighted by likelihood, in a directed and
 an undirected tail. ``narnea``: signed ranks against their null moments.
-Both are one rank window per sample, one join with the edges, one aggregation.
+Both are one rank window per sample, one join with the edges, one aggregation. Ranks
+and weighted edges are tables, so the plans that lead to them run once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import mathx
 from ..functions.ranks import average_rank, ordinal_rank, top_and_bottom
-from .common import only, sized_broadcast
+from ..sources.store import written
+from .common import only
 from .network import Network
 from .signature import signature
 
@@ -32,23 +34,46 @@ def _kept_features(matrix: DataFrame, net: Network, eset_filter: bool) -> DataFr
     return only(matrix, "feature", net.targets().union(net.regulators()).distinct())
 
 
-def area(matrix: DataFrame, net: Network, *, min_targets: int = 30, eset_filter: bool = False, ordinal: bool = False) -> DataFrame:
-    """sample, regulator, nes. Regulators are counted before targets without values are left out."""
-    net = net.prune(None, min_targets, eliminate=False)
-    m = _kept_features(matrix, net, eset_filter)
-    net = net.filter_targets(keep=m.select("feature").distinct())
+def _likely_targets(nets: Sequence[Network], features: DataFrame, min_targets: int) -> DataFrame:
+    """net, regulator, target, mor, likelihood: regulators with enough targets, then only targets that are ``features``."""
+    out = None
+    for k, net in enumerate(nets):
+        one = net.prune(None, min_targets, eliminate=False).edges.withColumn("net", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return only(out, "target", features)
+
+
+def ranked(matrix: DataFrame, ordinal: bool) -> DataFrame:
+    """A table of sample, feature, t2, z2, z1: ranks as quantiles in two tails. The one pass over the matrix's plan."""
     rank = ordinal_rank("value", "feature", "sample") if ordinal else average_rank("value", "sample")
     n = F.count("*").over(W.partitionBy("sample"))
-    tails = m.select("sample", "feature", (rank / (n + 1)).alias("t2")).withColumn("t1", F.abs(F.col("t2") - 0.5) * 2)
-    lift = tails.agg((1 - F.max("t1")) / 2).scalar()
-    scores = tails.withColumn("t1", F.col("t1") + lift).select(
-        "sample", F.col("feature").alias("target"), F.expr(mathx.ppf("t2")).alias("z2"), F.expr(mathx.ppf("t1")).alias("z1"))
-    edges = net.weights().select("regulator", "target", (F.col("weight") * F.col("mor")).alias("directed"),
-                                 (F.col("weight") * (1 - F.abs("mor"))).alias("undirected"))
-    sums = scores.join(sized_broadcast(edges), "target").groupBy("sample", "regulator").agg(
+    tails = written(matrix.select("sample", "feature", (rank / (n + 1)).alias("t2")), "ranks")
+    top = tails.agg(F.max(F.abs(F.col("t2") - 0.5) * 2)).first()[0]
+    f = tails.withColumn("t1", F.abs(F.col("t2") - 0.5) * 2 + (0.0 if top is None else (1 - top) / 2))
+    return mathx.add_ppf(mathx.add_ppf(f, "t2", "z2"), "t1", "z1").select("sample", "feature", "z2", "z1")
+
+
+def _area_of_nets(matrix: DataFrame, nets: Sequence[Network], *, min_targets: int = 30, eset_filter: bool = False, ordinal: bool = False) -> DataFrame:
+    """sample, net, regulator, nes. Samples are ranked once for all networks, unless their filters make the ranks differ."""
+    if eset_filter and len(nets) > 1:
+        return _by_net(nets, lambda net: area(matrix, net, min_targets=min_targets, eset_filter=True, ordinal=ordinal))
+    scores = ranked(_kept_features(matrix, nets[0], eset_filter), ordinal)
+    known = _likely_targets(nets, scores.select("feature").distinct(), min_targets)
+    of = W.partitionBy("net", "regulator")
+    l = F.col("likelihood")
+    # repeated pairs are averaged for the weights, and count as they are in the root of the squares
+    known = known.withColumn("icp", F.try_divide(F.sqrt(F.sum(l * l).over(of)), F.max(l).over(of)))
+    one = known.groupBy("net", "regulator", "target").agg(F.avg("mor").alias("mor"), F.avg(l).alias("likelihood"), F.first("icp").alias("icp"))
+    weight = F.try_divide(l, F.sum(l).over(of)) * F.col("icp")
+    edges = written(one.select("net", "regulator", "target", (weight * F.col("mor")).alias("directed"), (weight * (1 - F.abs("mor"))).alias("undirected")), "edges")
+    sums = scores.withColumnRenamed("feature", "target").join(edges, "target").groupBy("sample", "net", "regulator").agg(
         F.sum(F.col("directed") * F.col("z2")).alias("d"), F.sum(F.col("undirected") * F.col("z1")).alias("u"))
-    ies = (F.abs("d") + F.greatest("u", F.lit(0.0))) * F.signum("d")
-    return sums.join(sized_broadcast(net.icp()), "regulator").select("sample", "regulator", (ies * F.col("icp")).alias("nes"))
+    return sums.select("sample", "net", "regulator", ((F.abs("d") + F.greatest("u", F.lit(0.0))) * F.signum("d")).alias("nes"))
+
+
+def area(matrix: DataFrame, net: Network, *, min_targets: int = 30, eset_filter: bool = False, ordinal: bool = False) -> DataFrame:
+    """sample, regulator, nes. Regulators are counted before targets without values are left out."""
+    return _area_of_nets(matrix, [net], min_targets=min_targets, eset_filter=eset_filter, ordinal=ordinal).drop("net")
 
 
 def _by_net(nets: Sequence[Network], run) -> DataFrame:
@@ -68,11 +93,12 @@ def network_scores(stacked: DataFrame, n: int = 50) -> DataFrame:
 
 def area_meta(matrix: DataFrame, nets: Sequence[Network], *, mvws: int | float | str | DataFrame = 1, **how) -> DataFrame:
     """Several networks: a power that weighs their scores, 'auto' for the best network per sample, or a frame (sample, net number)."""
-    stacked = _by_net(nets, lambda net: area(matrix, net, **how))
+    stacked = _area_of_nets(matrix, nets, **how)
     if isinstance(mvws, DataFrame):
         chosen = mvws.toDF("sample", "net").withColumn("sample", F.col("sample").cast("string"))
         return stacked.join(chosen, ["sample", "net"]).select("sample", "regulator", "nes")
     if mvws == "auto":
+        stacked = written(stacked, "nets")
         best = network_scores(stacked).groupBy("sample").agg(F.min_by("net", F.struct(-F.col("score"), F.col("net"))).alias("net"))
         return stacked.join(best, ["sample", "net"]).select("sample", "regulator", "nes")
     w = F.pow(F.abs("nes"), F.lit(float(mvws)))
@@ -80,19 +106,61 @@ def area_meta(matrix: DataFrame, nets: Sequence[Network], *, mvws: int | float |
         F.coalesce(F.try_divide(F.sum(F.col("nes") * w), F.sum(w)), F.lit(0.0)).alias("nes"))
 
 
-def combine(d: str, u: str, rho: str) -> str:
-    """SQL of the one score for a directed and an undirected score and their correlation."""
-    plus = mathx.logsf(f"(({d}) + ({u})) / sqrt(2 + 2 * ({rho}))")
-    minus = mathx.logsf(f"(({u}) - ({d})) / sqrt(2 - 2 * ({rho}))")
-    return plus, minus
-
-
-def _combined(frame: DataFrame, out: str, d: str, u: str, rho: str) -> DataFrame:
-    plus, minus = combine(d, u, rho)
-    frame = frame.withColumn("_p", F.expr(plus)).withColumn("_m", F.expr(minus))
-    frame = frame.withColumn("_l", F.expr("least(_p, _m)")).withColumn("_f", F.expr("_l + ln(1 - exp(_l) / 2)"))
-    frame = frame.withColumn("_z", F.expr(mathx.log_quantile("_f")))
-    return frame.withColumn(out, F.expr("CASE WHEN _p < _m THEN _z ELSE -_z END")).drop("_p", "_m", "_l", "_f", "_z")
+def _combined(frame: DataFrame, out: str, d: str, u: str, rho: str = "rho") -> DataFrame:
+    """``frame`` with the one score, as column ``out``, for a directed and an undirected score and their correlation."""
+    d, u, rho = F.col(d), F.col(u), F.col(rho)
+    f = mathx.add_logsf(frame, (d + u) / F.sqrt(2 + 2 * rho), "_plus")
+    f = mathx.add_logsf(f, (u - d) / F.sqrt(2 - 2 * rho), "_minus").withColumn("_l", F.least("_plus", "_minus"))
+    f = f.withColumn("_f", F.col("_l") + F.log(1 - F.exp("_l") / 2))
+    f = mathx.add_log_quantile(f, "_f", "_z")
+    return f.withColumn(out, F.when(F.col("_plus") < F.col("_minus"), F.col("_z")).otherwise(-F.col("_z"))).drop("_plus", "_minus", "_l", "_f", "_z")
+
+
+def _signed_ranks(m: DataFrame, seed: str) -> DataFrame:
+    """A table of sample, feature, s (sign), r (rank of the size), n (features of the sample); zeros are drawn."""
+    m = written(m, "values")
+    least, positive, other = m.agg(
+        F.min(F.when(F.col("value") != 0, F.col("value"))), F.count(F.when(F.col("value") > 0, 1)), F.count(F.when(F.col("value") != 0, 1))).first()
+    share = positive / other if other else None
+    drawn = (f"(CASE WHEN {_uniform(repr(seed), 'sample', 'feature', repr('s'))} < {share!r}D THEN 1 ELSE -1 END) * "
+             f"{_uniform(repr(seed), 'sample', 'feature', repr('m'))} * {least!r}D") if other else "CAST(NULL AS DOUBLE)"
+    m = m.select("sample", "feature", F.expr(f"CASE WHEN value <> 0 THEN value ELSE {drawn} END").alias("value"))
+    return written(m.select("sample", "feature", F.signum("value").alias("s"), average_rank(F.abs("value"), "sample").alias("r"),
+                            F.count("*").over(W.partitionBy("sample")).cast("double").alias("n")), "signed-ranks")
+
+
+def _narnea_of_nets(matrix: DataFrame, nets: Sequence[Network], *, min_targets: int = 30, eset_filter: bool = False, seed: str = "0") -> DataFrame:
+    """A table of sample, net, regulator, nes, pes. Samples are ranked once for all networks, unless their filters make the ranks differ."""
+    if eset_filter and len(nets) > 1:
+        return _by_net(nets, lambda net: narnea(matrix, net, min_targets=min_targets, eset_filter=True, seed=seed))
+    ranked = _signed_ranks(_kept_features(matrix, nets[0], eset_filter), seed)
+    r, s, n = F.col("r"), F.col("s"), F.first("n")
+    moments = ranked.groupBy("sample").agg(n.alias("n"), (F.sum(r * s) / n).alias("e_rs"), (F.sum(r * r * s) / n).alias("e_r2s")).select(
+        "sample", "n", ((F.col("n") + 1) / 2).alias("e_r"), ((2 * F.col("n") * F.col("n") + 3 * F.col("n") + 1) / 6).alias("e_r2"), "e_rs", "e_r2s")
+    known = _likely_targets(nets, ranked.select("feature").distinct(), min_targets)
+    mode = F.expr(f"CASE WHEN abs(mor) >= 1 THEN signum(mor) * 0.999D WHEN mor = 0 THEN 0.002D * ({_uniform(repr(seed), 'regulator', 'target')} - 0.5D) ELSE mor END")
+    one = known.groupBy("net", "regulator", "target").agg(F.avg("mor").alias("mor"), F.avg("likelihood").alias("l")).withColumn("mor", mode)
+    top = F.dense_rank().over(W.partitionBy("net", "regulator").orderBy(F.desc("l")))
+    edges = written(one.select(
+        "net", "regulator", "target", (F.col("mor") * F.col("l")).alias("a"), ((1 - F.abs("mor")) * F.col("l")).alias("b"),
+        (F.abs("mor") * F.col("l")).alias("c"), top.alias("place")), "edges")
+    # the strongest response that a regulator can have: its likeliest targets in the highest ranks
+    a, b, c, place = (F.col(x) for x in ("a", "b", "c", "place"))
+    sums = edges.groupBy("net", "regulator").agg(*[F.sum(x).alias(y) for x, y in (
+        (a, "sa"), (a * a, "saa"), (b, "sb"), (b * b, "sbb"), (a * b, "sab"), (c, "pa"), (c * place, "pap"), (b, "pb"), (b * place, "pbp"))])
+    hits = ranked.withColumnRenamed("feature", "target").join(edges, "target").groupBy("sample", "net", "regulator").agg(
+        F.sum(r * s * a).alias("d"), F.sum(r * b).alias("u"))
+    f = hits.join(sums, ["net", "regulator"]).join(moments, "sample").selectExpr(
+        "sample", "net", "regulator", "sa * e_rs AS ed", "saa * (e_r2 - e_rs * e_rs) AS vd", "sb * e_r AS eu", "sbb * (e_r2 - e_r * e_r) AS vu",
+        "sab * (e_r2s - e_rs * e_r) AS cov", "d", "u", "(n + 1) * pa - pap AS dmax", "(n + 1) * pb - pbp AS umax").selectExpr(
+        "sample", "net", "regulator", "try_divide(d - ed, sqrt(vd)) AS zd", "try_divide(u - eu, sqrt(vu)) AS zu", "try_divide(dmax - ed, sqrt(vd)) AS zp",
+        "try_divide(-dmax - ed, sqrt(vd)) AS zn", "try_divide(umax - eu, sqrt(vu)) AS zm", "try_divide(cov, sqrt(vd * vu)) AS rho")
+    for out, directed, undirected in (("nes", "zd", "zu"), ("pos", "zp", "zm"), ("neg", "zn", "zm")):
+        f = _combined(f, out, directed, undirected)
+    most = F.abs(F.when(F.col("nes") > 0, F.col("pos")).otherwise(F.col("neg")))
+    # a table, so that a filter on the scores is not rewritten through all these formulas
+    out = written(f.select("sample", "net", "regulator", "nes", F.try_divide("nes", most).alias("pes")), "narnea")
+    return out
 
 
 def narnea(matrix: DataFrame, net: Network, *, min_targets: int = 30, eset_filter: bool = False, seed: str = "0") -> DataFrame:
@@ -102,53 +170,12 @@ def narnea(matrix: DataFrame, net: Network, *, min_targets: int = 30, eset_filte
     0 a small mode, both drawn by hash of their names, so that reruns agree.
     Repeated (regulator, target) pairs are an error of the input; they are averaged.
     """
-    net = net.prune(None, min_targets, eliminate=False)
-    m = _kept_features(matrix, net, eset_filter)
-    net = net.filter_targets(keep=m.select("feature").distinct())
-    facts = m.agg(F.struct(
-        F.min(F.when(F.col("value") != 0, F.col("value"))).alias("least"),
-        F.try_divide(F.sum(F.when(F.col("value") > 0, 1).otherwise(0)), F.sum(F.when(F.col("value") != 0, 1).otherwise(0))).alias("positive"))).scalar()
-    filled = F.expr(f"CASE WHEN value <> 0 THEN value ELSE (CASE WHEN {_uniform(repr(seed), 'sample', 'feature', repr('s'))} < facts.positive "
-                    f"THEN 1 ELSE -1 END) * {_uniform(repr(seed), 'sample', 'feature', repr('m'))} * facts.least END")
-    m = m.withColumn("facts", facts).select("sample", "feature", filled.alias("value"))
-    ranked = m.select("sample", "feature", F.signum("value").alias("s"), average_rank(F.abs("value"), "sample").alias("r"),
-                      F.count("*").over(W.partitionBy("sample")).cast("double").alias("n"))
-    moments = ranked.groupBy("sample").agg(
-        F.first("n").alias("n"), (F.sum(F.col("r") * F.col("s")) / F.first("n")).alias("e_rs"),
-        (F.sum(F.col("r") * F.col("r") * F.col("s")) / F.first("n")).alias("e_r2s")).select(
-        "sample", ((F.col("n") + 1) / 2).alias("e_r"), ((2 * F.col("n") * F.col("n") + 3 * F.col("n") + 1) / 6).alias("e_r2"), "e_rs", "e_r2s")
-    mode = F.expr(f"CASE WHEN abs(mor) >= 1 THEN signum(mor) * 0.999D WHEN mor = 0 THEN 0.002D * ({_uniform(repr(seed), 'regulator', 'target')} - 0.5D) ELSE mor END")
-    one = net.edges.groupBy("regulator", "target").agg(F.avg("mor").alias("mor"), F.avg("likelihood").alias("l")).withColumn("mor", mode)
-    top = F.dense_rank().over(W.partitionBy("regulator").orderBy(F.desc("l")))
-    many = F.count("*").over(W.partitionBy("regulator"))
-    edges = one.select(
-        "regulator", "target", (F.col("mor") * F.col("l")).alias("a"), ((1 - F.abs("mor")) * F.col("l")).alias("b"),
-        "mor", "l", top.alias("place"), many.alias("targets"))
-    # the strongest response that a regulator can have: its likeliest targets in the highest ranks
-    sums = edges.groupBy("regulator").agg(
-        *[F.sum(x).alias(y) for x, y in ((F.col("a"), "sa"), (F.col("a") * F.col("a"), "saa"), (F.col("b"), "sb"),
-                                         (F.col("b") * F.col("b"), "sbb"), (F.col("a") * F.col("b"), "sab"),
-                                         (F.abs("mor") * F.col("l"), "pa"), (F.abs("mor") * F.col("l") * F.col("place"), "pap"),
-                                         ((1 - F.abs("mor")) * F.col("l"), "pb"), ((1 - F.abs("mor")) * F.col("l") * F.col("place"), "pbp"))])
-    slim = edges.select("regulator", "target", "a", "b")
-    hits = ranked.withColumnRenamed("feature", "target").join(sized_broadcast(slim), "target").groupBy("sample", "regulator").agg(
-        F.sum(F.col("r") * F.col("s") * F.col("a")).alias("d"), F.sum(F.col("r") * F.col("b")).alias("u"), F.first("n").alias("n"))
-    f = hits.join(sized_broadcast(sums), "regulator").join(sized_broadcast(moments), "sample")
-    f = f.selectExpr(
-        "sample", "regulator", "sa * e_rs AS ed", "saa * (e_r2 - e_rs * e_rs) AS vd", "sb * e_r AS eu", "sbb * (e_r2 - e_r * e_r) AS vu",
-        "sab * (e_r2s - e_rs * e_r) AS cov", "d", "u", "(n + 1) * pa - pap AS dmax", "(n + 1) * pb - pbp AS umax")
-    f = f.selectExpr(
-        "sample", "regulator", "try_divide(d - ed, sqrt(vd)) AS zd", "try_divide(u - eu, sqrt(vu)) AS zu", "try_divide(dmax - ed, sqrt(vd)) AS zp",
-        "try_divide(-dmax - ed, sqrt(vd)) AS zn", "try_divide(umax - eu, sqrt(vu)) AS zm", "try_divide(cov, sqrt(vd * vu)) AS rho")
-    f = _combined(f, "nes", "zd", "zu", "rho")
-    f = _combined(f, "pos", "zp", "zm", "rho")
-    f = _combined(f, "neg", "zn", "zm", "rho")
-    return f.select("sample", "regulator", "nes", F.try_divide("nes", F.abs(F.when(F.col("nes") > 0, F.col("pos")).otherwise(F.col("neg")))).alias("pes"))
+    return _narnea_of_nets(matrix, [net], min_targets=min_targets, eset_filter=eset_filter, seed=seed).drop("net")
 
 
 def narnea_meta(matrix: DataFrame, nets: Sequence[Network], **how) -> DataFrame:
     """Networks weighted per sample by the share of common regulators in which they have the strongest response."""
-    stacked = _by_net(nets, lambda net: narnea(matrix, net, **how))
+    stacked = _narnea_of_nets(matrix, nets, **how)
     common = stacked.groupBy("sample", "regulator").agg(
         F.count("pes").alias("k"), F.min_by("net", F.struct(-F.abs("pes"), F.col("net"))).alias("net")).where(F.col("k") == len(nets))
     weights = common.groupBy("sample", "net").agg(F.count("*").alias("w")).withColumn(
@@ -187,5 +214,3 @@ def path_enrich(activity: DataFrame, collections: Network | Sequence[Network], *
     m = activity.select("sample", F.col("regulator").alias("feature"), F.col(value).alias("value"))
     out = infer_activity(m, collections, min_targets=0, **how)
     return out if obs is None else obs.join(out.groupBy("sample").pivot("regulator").agg(F.first("nes")), "sample", "left")
-
-

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank, top_and_bottom
-from .common import GROUPS, names_frame, only, sized_broadcast
+from .common import GROUPS, names_frame, only
 
 COLUMNS = ("regulator", "target", "mor", "likelihood")
 
@@ -131,7 +131,7 @@ class Network:
     def _translate(self, column: str, mapping: DataFrame, source: str, target: str) -> Network:
         table = mapping.select(F.col(source).alias(column), F.col(target).alias("to")).where(F.col(column).isNotNull())
         first = table.groupBy(column).agg(F.min("to").alias("to"))
-        e = self.edges.join(sized_broadcast(first), column).where(F.col("to").isNotNull() & ~F.col("to").isin("", "-1"))
+        e = self.edges.join(first, column).where(F.col("to").isNotNull() & ~F.col("to").isin("", "-1"))
         return self._with(e.drop(column).withColumnRenamed("to", column))
 
     def translate_targets(self, mapping: DataFrame, source: str, target: str) -> Network:
@@ -181,7 +181,7 @@ class Network:
         if annotation is not None:
             a = annotation.toDF("id", "name").groupBy("id").agg(F.min("name").alias("name"))
             for c in ("regulator", "target"):
-                t = t.join(sized_broadcast(a.select(F.col("id").alias(c), F.col("name").alias("_n"))), c, "left").withColumn(
+                t = t.join(a.select(F.col("id").alias(c), F.col("name").alias("_n")), c, "left").withColumn(
                     c, F.coalesce("_n", c)).drop("_n")
         t = t.where(F.col("mi") > mi_threshold)
         place = F.row_number().over(W.partitionBy("regulator").orderBy(F.desc("count"), F.desc("mi"), "target"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank
@@ -12,9 +12,8 @@ MAD = 1.4826
 
 def scale(m: DataFrame) -> DataFrame:
     """Per feature (value - mean) / standard deviation (n - 1)."""
-    w = W.partitionBy("feature")
-    v = F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w))
-    return m.select("sample", "feature", v.alias("value"))
+    per = m.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return m.join(per, "feature").select("sample", "feature", F.try_divide(F.col("value") - F.col("mean"), F.col("sd")).alias("value"))
 
 
 def rank(m: DataFrame) -> DataFrame:
@@ -40,13 +39,12 @@ def mad(m: DataFrame) -> DataFrame:
 
 def ttest(m: DataFrame) -> DataFrame:
     """t of each sample against all others, from sums per feature."""
-    w = W.partitionBy("feature")
-    x, n = F.col("value"), F.count("*").over(w)
-    s, q = F.sum("value").over(w), F.sum(F.col("value") * F.col("value")).over(w)
+    per = m.groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    x, n, s, q = (F.col(c) for c in ("value", "n", "s", "q"))
     mean = F.try_divide(s - x, n - 1)
     var = F.try_divide(q - x * x - (n - 1) * mean * mean, n - 2)
     t = F.try_divide(x - mean, F.sqrt(F.greatest(var, F.lit(0.0)) / (n - 1)))
-    return m.select("sample", "feature", t.alias("value"))
+    return m.join(per, "feature").select("sample", "feature", t.alias("value"))
 
 
 def rank_norm(m: DataFrame, center: str = "median", spread: str = "mad") -> DataFrame:

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast
 from .enrichment import area, narnea
 from .network import Network
 from .pvals import to_pvalues
@@ -45,18 +44,23 @@ def translate(names: DataFrame, mapping: DataFrame, source: str, target: str, *,
     table = mapping.select(F.col(source).alias(column), F.col(target).alias("translated")).where(
         F.col(column).isNotNull() & F.col("translated").isNotNull() & ~F.col("translated").isin("", "-1"))
     first = table.groupBy(column).agg(F.min("translated").alias("translated"))
-    out = names.join(sized_broadcast(first), column, "left")
+    out = names.join(first, column, "left")
     if remove_duplicates:
         place = F.row_number().over(W.partitionBy("translated").orderBy(order or column))
         out = out.withColumn("translated", F.when(place == 1, F.col("translated")))
     return out.where("translated is not null") if eliminate else out
 
 
-def detect_name_type(names: DataFrame, mapping: DataFrame, column: str = "name") -> DataFrame:
-    """name_type: the first kind, in the fixed order, that has any of the names; null if none."""
+def detect_name_type(names: DataFrame, mapping: DataFrame, column: str = "name", order: str | None = None) -> DataFrame:
+    """name_type: the first kind, in the fixed order, that has the first name which any kind has; null if none.
+
+    ``order`` is an expression by which names are in order (their own if not given).
+    """
     keys = [c for c in NAME_TYPES if c in mapping.columns]
-    pairs = mapping.select(F.explode(F.array(*[F.struct(F.lit(NAME_TYPES.index(c)).alias("at"), F.col(c).alias(column)) for c in keys])).alias("x")).select("x.*")
-    hit = pairs.join(names.select(column).distinct(), column, "left_semi").agg(F.min("at").alias("at"))
+    kinds = F.array(*[F.struct(F.lit(NAME_TYPES.index(c)).alias("at"), F.col(c).alias(column)) for c in keys])
+    pairs = mapping.select(F.explode(kinds).alias("x")).select("x.*").groupBy(column).agg(F.min("at").alias("at"))
+    known = names.select(column, F.expr(order or column).alias("_place")).join(pairs, column)
+    hit = known.agg(F.min_by("at", F.struct("_place", "at")).alias("at"))
     return hit.select(F.get(F.array(*map(F.lit, NAME_TYPES)), "at").alias("name_type"))
 
 

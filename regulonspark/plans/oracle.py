@@ -19,11 +19,11 @@ def _u(*parts: str) -> str:
     return f"(CAST(CAST('0x' || substr(md5({text}), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0::DOUBLE)"
 
 
-def area_ctes(net: str, m: str, out: str, ordinal: bool = False, eset: bool = False) -> str:
+def area_ctes(net: str, m: str, out: str, ordinal: bool = False, eset: bool = False, least: int = 30) -> str:
     source = f"(SELECT * FROM {m} WHERE feature IN (SELECT target FROM {net} UNION SELECT regulator FROM {net}))" if eset else m
     rank = "row_number() OVER (PARTITION BY sample ORDER BY value, feature)" if ordinal else _avg_rank("value", "sample")
     return f""", {out}_p AS (
-  SELECT regulator, target, mor, likelihood FROM (SELECT *, count(*) OVER (PARTITION BY regulator) AS n FROM {net}) WHERE n >= 30
+  SELECT regulator, target, mor, likelihood FROM (SELECT *, count(*) OVER (PARTITION BY regulator) AS n FROM {net}) WHERE n >= {least}
 ), {out}_e AS (SELECT * FROM {out}_p WHERE target IN (SELECT feature FROM {source} x)),
 {out}_w AS (
   SELECT regulator, target, mor, likelihood / sum(likelihood) OVER (PARTITION BY regulator) AS w FROM {out}_e
@@ -81,6 +81,34 @@ def narnea_ctes(net: str, m: str, o: str) -> str:
 {o} AS (SELECT sample, regulator, nes, nes / abs(CASE WHEN nes > 0 THEN pos ELSE neg END) AS pes FROM {o}_nn)"""
 
 
+_PRUNED = ("SELECT regulator, target, mor, likelihood FROM (SELECT *, row_number() OVER (PARTITION BY regulator ORDER BY likelihood DESC, target, mor DESC) AS k, "
+           "count(*) OVER (PARTITION BY regulator) AS n FROM n1) WHERE k <= 50 AND n >= 50")
+_STOUFFER = "s AS (SELECT cluster, feature, sum(value) / sqrt(count(*)) AS score FROM m2 GROUP BY cluster, feature)"
+
+
+def pleiotropy_sql() -> str:
+    stat = ("(abs(sum(mor * l * z2)) + greatest(sum((1 - abs(mor)) * l * z1), 0)) / sum(l) * {0} * sqrt(sum(l * l)) / max(l)")
+    return ctes("n1", "m1") + f", np AS ({_PRUNED})" + area_ctes("np", "m1", "a") + f""",
+c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sample) AS k FROM a WHERE regulator NOT LIKE '%--%' AND 2 * ({mathx.sf('abs(nes)')}) < 0.05) WHERE k >= 2),
+j AS (SELECT c.sample AS sample, c.regulator AS regulator, np.target AS target, mor, likelihood AS l, nes, value
+  FROM c JOIN np ON c.regulator = np.regulator JOIN m1 ON m1.sample = c.sample AND m1.feature = np.target),
+o0 AS (SELECT *, 2 * {_avg_rank('value', 'sample, regulator')} / (count(*) OVER (PARTITION BY sample, regulator) + 1) - 1 AS t FROM j),
+o1 AS (SELECT *, 2 * abs(t) - 1 AS u0, max(2 * abs(t) - 1) OVER (PARTITION BY sample, regulator) AS top FROM o0),
+o2 AS (SELECT *, t / 2 + 0.5 AS pt, (u0 + (1 - top) / 2) / 2 + 0.5 AS pu FROM o1),
+o AS (SELECT sample, regulator, target, mor, l, ({mathx.ppf('pt')}) * sign(nes) AS z2, {mathx.ppf('pu')} AS z1 FROM o2),
+s AS (SELECT x.*, y.regulator AS rival FROM o x JOIN o y ON x.sample = y.sample AND x.target = y.target AND x.regulator <> y.regulator),
+t AS (SELECT sample, regulator, rival, {stat.format('CASE WHEN sum(mor * l * z2) < 0 THEN -1 ELSE 1 END')} AS stat FROM s GROUP BY sample, regulator, rival HAVING count(*) >= 3),
+p AS (SELECT sample, regulator, rival, greatest({mathx.sf('stat')}, 1e-300) AS p FROM t),
+q AS (SELECT p.*, r.p AS q, count(*) OVER (PARTITION BY p.sample, p.regulator) AS tests FROM p JOIN p r ON r.sample = p.sample AND r.regulator = p.rival AND r.rival = p.regulator),
+lost AS (SELECT sample, regulator, rival, ln(1 + abs(log10(p) - log10(q))) * 20 / tests AS w FROM q WHERE p > q),
+cut AS (SELECT s.sample AS sample, s.regulator AS regulator, s.target AS target, sum(w) AS w FROM s JOIN lost d ON d.sample = s.sample AND d.regulator = s.regulator AND d.rival = s.rival GROUP BY ALL),
+new AS (SELECT x.sample AS sample, x.regulator AS regulator, np.target AS target, mor, likelihood * exp(-coalesce(w, 0)) AS l
+  FROM (SELECT DISTINCT sample, regulator FROM lost) x JOIN np ON np.regulator = x.regulator
+  LEFT JOIN cut ON cut.sample = x.sample AND cut.regulator = x.regulator AND cut.target = np.target),
+again AS (SELECT n.sample AS sample, regulator, {stat.format('sign(sum(mor * l * z2))')} AS nes FROM new n JOIN a_z ON a_z.sample = n.sample AND a_z.feature = n.target GROUP BY n.sample, regulator HAVING count(*) >= 5)
+SELECT a.sample AS sample, a.regulator AS regulator, round(coalesce(b.nes, a.nes), 6) AS nes FROM a LEFT JOIN again b ON b.sample = a.sample AND b.regulator = a.regulator"""
+
+
 _STACK = "SELECT *, 0 AS net FROM {0} UNION ALL SELECT *, 1 AS net FROM {1}"
 
 
@@ -96,14 +124,18 @@ pairs AS (SELECT a.sample AS i, b.sample AS j, a.cluster AS ci, b.cluster AS cj,
   CASE WHEN a.sample = b.sample THEN 0.0::DOUBLE ELSE sqrt(greatest(0, 1 - list_dot_product(a.v, b.v))) END AS dist FROM d a, d b)"""
 
 
-def similarity_sql(method: str) -> str:
+def similarity_sql(method: str, nn: int | None = None) -> str:
     import math
 
     keep = {"two.sided": "TRUE", "greater": "value > 0", "less": "value < 0"}[method]
     slope = repr(math.log(1 / 0.9 - 1) / -2.0)
+    size = f"sign(value) * ({mathx.sigmoid('abs(value)', slope, '4.0')})"
+    if nn:  # two-sided
+        up = "row_number() OVER (PARTITION BY sample ORDER BY value, feature)"
+        size = f"CASE WHEN {up} > count(*) OVER (PARTITION BY sample) - {nn // 2} THEN 1.0::DOUBLE WHEN {up} <= {nn // 2} THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END"
     return ctes("m2") + f""", x AS (SELECT sample, feature, value * 10 AS value FROM m2),
 w AS (SELECT sample, feature, value, {_avg_rank('value', 'sample')} / (count(*) OVER (PARTITION BY sample) + 1.0::DOUBLE) AS p,
-  CASE WHEN {keep} THEN sign(value) * ({mathx.sigmoid('abs(value)', slope, '4.0')}) ELSE 0.0::DOUBLE END AS w FROM x),
+  CASE WHEN {keep} THEN {size} ELSE 0.0::DOUBLE END AS w FROM x),
 s AS (SELECT sample, list(w / nullif(sw, 0) ORDER BY feature) AS w, list(t ORDER BY feature) AS t, any_value(len) AS len FROM (
   SELECT sample, feature, w, {mathx.ppf('p')} AS t, sum(abs(w)) OVER (PARTITION BY sample) AS sw, sqrt(sum(w * w) OVER (PARTITION BY sample)) AS len FROM w) GROUP BY sample),
 v AS (SELECT a.sample AS i, b.sample AS j, list_dot_product(a.w, b.t) * a.len AS x, list_dot_product(a.t, b.w) * b.len AS y FROM s a, s b)
@@ -166,6 +198,35 @@ w AS (SELECT sample, net, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITI
 j AS (SELECT s.*, coalesce(w.w, 0) AS w FROM s LEFT JOIN w ON s.sample = w.sample AND s.net = w.net)
 SELECT sample, regulator, round(coalesce(sum(w * nes) / nullif(sqrt(sum(w * w) FILTER (nes <> 0)), 0), 0), 6) AS nes,
        round(coalesce(sum(w * pes) / nullif(sum(w) FILTER (pes <> 0), 0), 0), 6) AS pes FROM j GROUP BY sample, regulator""",
+        "viper_rank_area": ctes("n2", "m1") + f", r AS (SELECT sample, feature, {_avg_rank('value', 'feature')} AS value FROM m1)" + area_ctes("n2", "r", "a", eset=True)
+        + f" SELECT sample, regulator, {_r('nes', 'nes')} FROM a",
+        "viper_two_networks": ctes("n2", "n3", "m1") + area_ctes("n2", "m1", "a", eset=True) + area_ctes("n3", "m1", "b", eset=True) + f", s AS ({_STACK.format('a', 'b')}) "
+        "SELECT sample, regulator, round(coalesce(sum(nes * abs(nes)) / nullif(sum(abs(nes)), 0), 0), 6) AS nes FROM s GROUP BY sample, regulator",
+        "viper_narnea": ctes("n3", "m1") + ", e AS (SELECT * FROM m1 WHERE feature IN (SELECT target FROM n3 UNION SELECT regulator FROM n3))" + narnea_ctes("n3", "e", "a")
+        + f" SELECT sample, regulator, {_r('nes', 'nes')}, {_r('pes', 'pes')} FROM a WHERE round(nes, 6) > 0",
+        "pleiotropy": pleiotropy_sql(),
+        "path_enrich": ctes("m2") + ", " + _STOUFFER + """, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, feature) AS t, row_number() OVER (PARTITION BY cluster ORDER BY score, feature) AS b FROM s),
+net AS (SELECT 'set' || cluster AS regulator, feature AS target, CASE WHEN t <= 20 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS mor, 1.0::DOUBLE AS likelihood FROM k WHERE t <= 20 OR b <= 20),
+e AS (SELECT sample, feature, value * 10 AS value FROM m2)""" + area_ctes("net", "e", "a", eset=True, least=0) + f" SELECT sample, regulator, {_r('nes', 'nes')} FROM a",
+        "oncomatch": ctes("m2") + """, e AS (SELECT sample, feature, value * 10 AS value FROM m2 WHERE CAST(sample AS BIGINT) % 2 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value * 10 DESC, feature) AS t, row_number() OVER (PARTITION BY sample ORDER BY value * 10, feature) AS b FROM m2 WHERE CAST(sample AS BIGINT) % 2 = 1),
+net AS (SELECT sample AS regulator, feature AS target, CASE WHEN t <= 10 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS mor, 1.0::DOUBLE AS likelihood FROM k WHERE t <= 10 OR b <= 10)"""
+        + area_ctes("net", "e", "a", least=0) + f""", q AS (SELECT sample, regulator AS reference, least(coalesce(nes, 0), 30.0) AS z FROM a),
+p AS (SELECT sample, reference, least({mathx.sf('z')}, 1.0) AS p FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY p) AS r, count(*) OVER (PARTITION BY sample) AS m FROM p),
+f AS (SELECT sample, reference, least(1.0, min(p * m / r) OVER (PARTITION BY sample ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM r)
+SELECT sample, reference, round(greatest(0, -log10(fdr + 1e-300)), 6) AS score FROM f""",
+        "similarity_nn": similarity_sql("two.sided", nn=20),
+        "sample_order": ctes("m2") + _CENTRED + """, s AS (SELECT i, ci, cj, sum(dist) AS s, count(*) AS n FROM pairs GROUP BY i, ci, cj),
+ab AS (SELECT i, ci, max(s / nullif(n - 1, 0)) FILTER (ci = cj) AS a, min(s / n) FILTER (ci <> cj) AS b FROM s GROUP BY i, ci),
+w AS (SELECT i AS sample, ci AS cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 9) AS w FROM ab)
+SELECT sample, cluster, row_number() OVER (ORDER BY cluster, w DESC, sample) AS position FROM w""",
+        "mr_rows": ctes("m2") + ", " + _STOUFFER + """, t AS (SELECT cluster, feature FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, feature) AS t FROM s) WHERE t <= 10),
+u AS (SELECT m2.cluster AS cluster, m2.feature AS feature, sum(value) AS total FROM m2 JOIN t ON t.cluster = m2.cluster AND t.feature = m2.feature GROUP BY m2.cluster, m2.feature)
+SELECT cluster, feature, round(total, 6) AS total, CAST(row_number() OVER (PARTITION BY cluster ORDER BY total DESC, feature) AS INTEGER) AS position FROM u""",
+        "metacell_shares": ctes("m2") + _CENTRED + """, k AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY i <> j, round(dist, 9), j) AS r FROM pairs) WHERE r <= 5),
+u AS (SELECT j, count(*) AS times FROM k GROUP BY j)
+SELECT count(*) AS samples_used, round(100 * avg(CASE WHEN times > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS perc_reused, round(avg(times), 6) AS mean_use, round(stddev_pop(times), 6) AS std_use FROM u""",
         "stouffer": ctes("m2") + _SUMS + f", f AS (SELECT cluster, feature, s / sqrt(n) AS score, sqrt(n) * st / nt AS mu, sqrt(greatest(qt / nt - (st / nt) * (st / nt), 0) * (nt - n) / nullif(nt - 1, 0)) AS sd FROM t) "
         f"SELECT cluster, feature, {_r('score', 'score')}, {_r(_null('score', 'mu', 'sd'), 'pval')} FROM f",
         "mean_diffs": ctes("m2") + _SUMS + ", f AS (SELECT cluster, feature, s / n - (st - s) / (nt - n) AS score, sqrt(greatest(qt / nt - (st / nt) * (st / nt), 0) * nt * nt / (n * (nt - n) * (nt - 1))) AS sd FROM t) "

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..operators.common import sized_broadcast
 from ..operators.distances import silhouette
 from ..operators.clusters import top_regulators
 
@@ -22,7 +21,7 @@ def plot_frame(activity: DataFrame | None, expression: DataFrame | None = None,
     if variables is not None:
         v = activity or expression
         names = v.sparkSession.createDataFrame([(str(x), n) for n, x in enumerate(dict.fromkeys(variables))], "_v string, position int")
-        parts = [p.join(sized_broadcast(names), (p["_f"] if "_f" in p.columns else p["variable"]) == F.col("_v")).drop("_v") for p in parts]
+        parts = [p.join(names, (p["_f"] if "_f" in p.columns else p["variable"]) == F.col("_v")).drop("_v") for p in parts]
     parts = [p.drop("_f") for p in parts]
     out = parts[0]
     for p in parts[1:]:
@@ -53,7 +52,7 @@ def sample_order(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     size = s.groupBy("cluster").count()
     start = F.sum("count").over(W.orderBy("cluster").rowsBetween(W.unboundedPreceding, -1))
     first = size.select("cluster", F.coalesce(start, F.lit(0)).alias("first"))
-    return s.join(sized_broadcast(first), "cluster").select("sample", "cluster", (F.col("first") + F.col("place")).alias("position"))
+    return s.join(first, "cluster").select("sample", "cluster", (F.col("first") + F.col("place")).alias("position"))
 
 
 def regulator_rows(m: DataFrame, clusters: DataFrame, n: int = 10, method: str = "stouffer", tops: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ class Data:
     def net(self, sql: str) -> Network:
         return Network(views.spark_view(self.spark, self.sf_dir, sql))
 
-    @property
+    @cached_property
     def m1(self) -> DataFrame:
         return densify(views.spark_view(self.spark, self.sf_dir, views.M1_SPARSE))
 
@@ -131,6 +133,9 @@ QUERIES = {
         mvws=d.m1.select("sample").distinct().select("sample", F.pmod(F.col("sample").cast("int"), F.lit(2)).alias("net"))), "nes"),
     "narnea_nes_pes": lambda d: rounded(E.narnea(d.m1, d.net(views.N1)), "nes", "pes"),
     "narnea_meta": lambda d: rounded(E.narnea_meta(d.m1, [d.net(views.N2), d.net(views.N3)]), "nes", "pes"),
+    "viper_rank_area": lambda d: rounded(E.infer_activity(d.m1, d.net(views.N2), method="rank"), "nes"),
+    "viper_two_networks": lambda d: rounded(E.infer_activity(d.m1, [d.net(views.N2), d.net(views.N3)]), "nes"),
+    "viper_narnea": lambda d: rounded(E.infer_activity(d.m1, d.net(views.N3), enrichment="narnea"), "nes", "pes").where("nes > 0"),
     "stouffer": lambda d: rounded(C.stouffer(d.m2, d.clusters), "score", "pval"),
     "mean_diffs": lambda d: rounded(C.mean_diffs(d.m2, d.clusters), "score", "pval"),
     "median_diffs": lambda d: rounded(C.median_diffs(d.m2, d.clusters), "score"),
@@ -156,13 +161,16 @@ QUERIES = {
     "repr_subsample": lambda d: S.repr_subsample(d.vectors, 20, clusters=d.clusters),
     "repr_metacells": _members,
     "metacell_stats": lambda d: S.metacell_stats(_members(d), _counts(d)),
+    "metacell_shares": lambda d: rounded(S.metacell_stats(
+        D.knn(d.vectors, 5).select(F.lit("0").alias("cluster"), F.col("sample").alias("metacell"), F.col("neighbor").alias("sample")),
+        _counts(d)).select("samples_used", "perc_reused", "mean_use", "std_use"), "perc_reused", "mean_use", "std_use"),
     "pca": lambda d: T.pca(d.vectors, 5).select("sample", F.posexplode("vec").alias("component", "score")),
     "dendrogram": lambda d: T.dendrogram(d.vectors, d.clusters),
     "vis_net_nodes": _vis_nodes,
     "group_summary": lambda d: rounded(V.group_summary(V.plot_frame(d.m2, obs=d.clusters), "cluster"), "mean", "fraction", "q1", "median", "q3"),
     "normalized_expression": lambda d: rounded(V.normalized_expression(d.m1.withColumn("value", F.floor("value").cast("double"))), "value"),
     "sample_order": lambda d: V.sample_order(d.vectors, d.clusters),
-    "mr_rows": lambda d: V.regulator_rows(d.m2, d.clusters),
+    "mr_rows": lambda d: rounded(V.regulator_rows(d.m2, d.clusters), "total"),
 }
 
 
