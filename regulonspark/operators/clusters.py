@@ -6,11 +6,21 @@ cluster). Permutation nulls have closed forms, so nothing is permuted.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import mathx
 from ..functions.ranks import average_rank, top_and_bottom
+from .common import feature_groups
+
+
+#: Samples up to which a side counts as small for the exact Mann-Whitney test, and the most on the other side.
+EXACT, EXACT_OTHER = 8, 10_000
 
 
 def labelled(m: DataFrame, clusters: DataFrame | None) -> DataFrame:
@@ -58,17 +68,49 @@ def median_diffs(m: DataFrame, clusters: DataFrame) -> DataFrame:
     return both.select(F.col("own").alias("cluster"), "feature", "score")
 
 
+@lru_cache(maxsize=256)
+def _u_tail(a: int, b: int) -> np.ndarray:
+    """Probabilities that U of a and b samples is at least 0, 1, .. a * b, by the count of rank orders."""
+    ways = np.zeros(a * b + 1, object)  # whole numbers of any size: nothing is lost where they cancel
+    ways[0] = 1
+    # the generating function of U: the product of (1 - x^(b + i)) / (1 - x^i)
+    for i in range(1, a + 1):
+        grown = ways.copy()
+        if b + i < len(ways):
+            grown[b + i :] -= ways[: -(b + i)]
+        for start in range(min(i, len(ways))):
+            grown[start::i] = np.cumsum(grown[start::i])
+        ways = grown
+    return (np.cumsum(ways[::-1])[::-1] / ways.sum()).astype(float)
+
+
+@F.pandas_udf(DoubleType())
+def _exact_p(u: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """Two-sided p of the larger U where a side is small, null elsewhere."""
+    out = np.full(len(u), np.nan)
+    small = np.minimum(a, b)
+    for at in np.flatnonzero((small > 0) & (small <= EXACT) & (np.maximum(a, b) <= EXACT_OTHER)):
+        x, y = sorted((int(a[at]), int(b[at])))
+        out[at] = min(1.0, 2 * _u_tail(x, y)[int(round(max(u[at], x * y - u[at])))])
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
 def mwu(m: DataFrame, clusters: DataFrame) -> DataFrame:
-    """cluster, feature, score (U), pval: two-sided Mann-Whitney, normal with ties and continuity correction."""
+    """cluster, feature, score (U), pval: two-sided Mann-Whitney.
+
+    Exact where the cluster or the rest has ``EXACT`` samples or fewer (and the other at most
+    ``EXACT_OTHER``) and no value is tied, else normal with ties and continuity correction.
+    """
     r = labelled(m, clusters).withColumn("r", average_rank("value", "feature"))
     r = r.withColumn("ties", F.count("*").over(W.partitionBy("feature", "value")).cast("double"))
     g = r.groupBy("cluster", "feature").agg(F.sum("r").alias("r1"), F.count("*").cast("double").alias("n1"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
     w = W.partitionBy("feature")
     g = g.select("cluster", "feature", "r1", "n1", F.sum("n1").over(w).alias("n"), F.sum("t").over(w).alias("t"))
-    g = g.selectExpr("cluster", "feature", "r1 - n1 * (n1 + 1) / 2 AS score", "n1 * (n - n1) AS nn",
+    g = g.selectExpr("cluster", "feature", "r1 - n1 * (n1 + 1) / 2 AS score", "n1 * (n - n1) AS nn", "n1", "CASE WHEN t = 0 THEN n - n1 ELSE 0 END AS n2",
                      "sqrt(n1 * (n - n1) / 12 * ((n + 1) - try_divide(t, n * (n - 1)))) AS sd")
     z = "(greatest(score, nn - score) - nn / 2 - 0.5D) / nullif(sd, 0)"
-    return g.select("cluster", "feature", "score", F.expr(f"least(1.0D, 2 * ({mathx.sf(z)}))").alias("pval"))
+    normal = F.expr(f"least(1.0D, 2 * ({mathx.sf(z)}))")
+    return g.select("cluster", "feature", "score", F.coalesce(_exact_p("score", "n1", "n2"), normal).alias("pval"))
 
 
 def closeness(vectors: DataFrame, clusters: DataFrame | None) -> DataFrame:
@@ -89,11 +131,22 @@ def spearman(m: DataFrame, vectors: DataFrame, clusters: DataFrame | None = None
 STATISTICS = {"stouffer": stouffer, "mwu": mwu, "mean_diffs": mean_diffs, "spearman": spearman}
 
 
+def statistic(method: str, m: DataFrame, clusters: DataFrame | None = None, *, vectors: DataFrame | None = None,
+              groups: dict[str, DataFrame] | None = None, wanted=None) -> DataFrame:
+    """One of ``STATISTICS``, of the features in the ``wanted`` groups (names of ``groups``) if these are given."""
+    if method not in STATISTICS:
+        raise ValueError(f"statistics are {sorted(STATISTICS)}")
+    if wanted is not None:
+        m = feature_groups(m, groups or {}, wanted)
+    if method == "spearman":
+        return spearman(m, m if vectors is None else vectors, clusters)
+    return STATISTICS[method](m, clusters)
+
+
 def top_regulators(m: DataFrame, clusters: DataFrame | None = None, *, n: int = 50, both: bool = True, method: str = "stouffer",
-                   vectors: DataFrame | None = None) -> DataFrame:
+                   vectors: DataFrame | None = None, groups: dict[str, DataFrame] | None = None, wanted=None) -> DataFrame:
     """cluster, feature, score, mark: the n highest (marks n..1) and, if ``both``, the n lowest (marks -1..-n turned: the lowest has -n)."""
-    args = (m, vectors, clusters) if method == "spearman" else (m, clusters)
-    s = STATISTICS[method](*args).select("cluster", "feature", "score").where("score IS NOT NULL")
+    s = statistic(method, m, clusters, vectors=vectors, groups=groups, wanted=wanted).select("cluster", "feature", "score").where("score IS NOT NULL")
     t = top_and_bottom(s, "score", "feature", n, "cluster", keep="both" if both else "top")
     mark = F.when(F.col("top") <= n, n + 1 - F.col("top"))
     if both:

@@ -17,6 +17,16 @@ def as_matrix(frame: DataFrame, sample: str, feature: str, value: str) -> DataFr
                         F.col(value).cast("double").alias("value"))
 
 
+def counts_of(frame: DataFrame, samples: DataFrame, sample: str = "sample", feature: str = "feature", count: str = "count") -> DataFrame:
+    """sample, feature, count of a long frame that has all of ``samples`` (one column) and no other."""
+    counts = frame.select(F.col(sample).cast("string").alias("sample"), F.col(feature).cast("string").alias("feature"), F.col(count).cast("double").alias("count"))
+    wanted = samples.select(F.col(samples.columns[0]).cast("string").alias("sample")).distinct()
+    odd = counts.select("sample").distinct().join(wanted.withColumn("wanted", F.lit(True)), "sample", "full").where("wanted IS NULL")
+    if odd.limit(1).count() or wanted.join(counts, "sample", "left_anti").limit(1).count():
+        raise ValueError("the counts are not of the same samples")
+    return counts
+
+
 def from_wide(frame: DataFrame, sample: str) -> DataFrame:
     """One row per cell of a frame with a column per feature."""
     names = [c for c in frame.columns if c != sample]

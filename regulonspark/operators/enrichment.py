@@ -76,6 +76,39 @@ def area(matrix: DataFrame, net: Network, *, min_targets: int = 30, eset_filter:
     return _area_of_nets(matrix, [net], min_targets=min_targets, eset_filter=eset_filter, ordinal=ordinal).drop("net")
 
 
+def area_weighted(matrix: DataFrame, net: Network, weights: DataFrame | None = None, *, min_targets: int = 20) -> DataFrame:
+    """sample, regulator, nes, where values may be missing (null, or no row) and count with ``weights`` (sample, feature, weight; 1 if none).
+
+    Each sample's ranks are among the values it has, and its undirected tail is lifted by its
+    own. Cells without a weight count nothing. Regulators are counted by the targets that are features.
+    """
+    m = written(matrix.where(F.col("value").isNotNull()).select("sample", "feature", "value"), "values")
+    features = matrix.select("feature").distinct()
+    known = net.filter_targets(keep=features).prune(None, min_targets, eliminate=False).edges
+    w = W.partitionBy("sample")
+    f = m.select("sample", "feature", (average_rank("value", "sample") / (F.count("*").over(w) + 1)).alias("t2")).withColumn("t1", F.abs(F.col("t2") - 0.5) * 2)
+    f = f.withColumn("t1", F.col("t1") + (1 - F.max("t1").over(w)) / 2)
+    f = mathx.add_ppf(mathx.add_ppf(f, "t2", "z2"), "t1", "z1").select("sample", F.col("feature").alias("target"), "z2", "z1")
+    if weights is None:
+        f = f.withColumn("weight", F.lit(1.0))
+    else:
+        given = weights.toDF("sample", "target", "weight").select(F.col("sample").cast("string").alias("sample"), F.col("target").cast("string").alias("target"), "weight")
+        f = f.join(given, ["sample", "target"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    l, x = F.col("likelihood"), F.col("likelihood") * F.col("weight")
+    sums = f.join(known, "target").groupBy("sample", "regulator").agg(
+        F.sum(x * F.col("mor") * F.col("z2")).alias("d"), F.sum(x * (1 - F.abs("mor")) * F.col("z1")).alias("u"), F.sum(x).alias("total"),
+        F.sqrt(F.sum(x * x)).alias("root"), F.max(x).alias("top"), F.min("weight").alias("least"), F.count("*").alias("n"))
+    whole = known.groupBy("regulator").agg(F.sqrt(F.sum(l * l)).alias("root1"), F.max(l).alias("top1"), F.count("*").alias("n1"))
+    # where no cell counts less than 1, the regulator's own likelihoods set the size of the score
+    sums = sums.join(whole, "regulator")
+    lessened = written(sums.withColumn("lessened", (F.col("least") < 1) | (F.col("n") < F.col("n1"))), "weighted-sums")
+    any_less = bool(lessened.agg(F.max("lessened")).first()[0])
+    size = F.try_divide("root", "top") if any_less else F.try_divide("root1", "top1")
+    sign = F.when(F.col("d") < 0, -1.0).otherwise(1.0)
+    es = F.try_divide((F.abs("d") + F.greatest("u", F.lit(0.0))) * sign, "total")
+    return lessened.select("sample", "regulator", (es * size).alias("nes"))
+
+
 def _by_net(nets: Sequence[Network], run) -> DataFrame:
     out = None
     for k, net in enumerate(nets):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Samples that are paired with one distance matrix (of 3.2 GB) at most, samples of a block of larger clusters (even), and cells of a block of distances.
 MOST, BLOCK, CELLS = 20_000, 2_000, 1 << 25
+#: Rounds of swaps of representatives at most.
+SWEEPS = 100
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -114,22 +116,36 @@ def repr_subsample(vectors: DataFrame, size: int = 1000, seed: int = 0, clusters
     return v.select("cluster", "sample", "vec").groupBy("cluster").applyInPandas(run, "cluster string, sample string")
 
 
-def _groups(d: np.ndarray | None, v: np.ndarray, size: int, k: int, seed: int, spread: bool) -> np.ndarray:
-    """size x k members: each representative and its nearest; with ``spread``, rows are swapped for ones that reuse less."""
-    order = _nearest(v.astype(float), k) if d is None else np.argsort(d, axis=1, kind="stable")[:, :k]
-    size = min(size, len(v))
-    rows = list(representative(v, size, seed))
+class _Near:
+    """The nearest of every sample, itself first; found anew only when more are asked for than before."""
+
+    def __init__(self, v: np.ndarray):
+        self.v, self.held = v.astype(float), np.empty((len(v), 0), np.int64)
+
+    def __call__(self, k: int) -> np.ndarray:
+        if k > self.held.shape[1]:
+            self.held = _nearest(self.v, min(len(self.v), max(k, 2 * self.held.shape[1])))
+        return self.held[:, :k]
+
+
+def _groups(order: np.ndarray, rows: list[int], spread: bool) -> np.ndarray:
+    """The members of each of ``rows``: its nearest; with ``spread``, rows are swapped for ones that reuse less."""
+    rows = list(rows)
     if spread:
-        use = np.bincount(order[rows].ravel(), minlength=len(v))
-        for _ in range(10):
+        use = np.bincount(order[rows].ravel(), minlength=len(order))
+        taken = np.zeros(len(order), bool)
+        taken[rows] = True
+        for _ in range(SWEEPS):
             moved = False
             for at, r in enumerate(rows):
                 use[order[r]] -= 1
                 cost = use[order].sum(1).astype(float)
-                cost[[x for n, x in enumerate(rows) if n != at]] = np.inf
+                taken[r] = False
+                cost[taken] = np.inf
                 best = int(np.argmin(cost))
                 if cost[best] < cost[r]:
                     rows[at], moved = best, True
+                taken[rows[at]] = True
                 use[order[rows[at]]] += 1
             if not moved:
                 break
@@ -142,34 +158,62 @@ def _shares(groups: np.ndarray, n: int) -> tuple[float, float]:
     return 100.0 * (use > 0).mean(), 100.0 * (use > 1).sum() / max(1, (use > 0).sum())
 
 
+def _fitted(share, goal: float, most: int, at_least: bool) -> int:
+    """The smallest number whose share reaches the goal, or the largest whose share does not pass it.
+
+    Shares grow with the number but for small dips, so the steps around the bisection's
+    result are tried too; if no number will do, the nearest share counts.
+    """
+    known: dict[int, float] = {}
+
+    def ask(x: int) -> float:
+        if x not in known:
+            known[x] = share(x)
+        return known[x]
+
+    high = 1
+    while high < most and ask(high) < goal:
+        high = min(most, 2 * high)
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if ask(mid) >= goal else (mid, high)
+    for x in range(max(1, high - 3), min(most, high + 3) + 1):
+        ask(x)
+    good = [x for x, s in known.items() if (s >= goal if at_least else s <= goal)]
+    if good:
+        return min(good) if at_least else max(good)
+    return min(known, key=lambda x: (abs(known[x] - goal), x))
+
+
 def choose_metacells(v: np.ndarray, depth: np.ndarray, *, size=None, n_cells=None, min_median_depth=None, perc_data_to_use=None,
                      perc_incl_data_reused=None, seed: int = 0, spread: bool = True) -> np.ndarray:
-    """Members (size x k) from exactly two of the five knobs; depth stands for the number of cells."""
-    given = {k: x for k, x in dict(size=size, n_cells=n_cells, depth=min_median_depth, used=perc_data_to_use, reused=perc_incl_data_reused).items() if x is not None}
-    if len(given) != 2 or {"n_cells", "depth"} <= set(given):
-        raise ValueError("give exactly two of size, n_cells, min_median_depth, perc_data_to_use, perc_incl_data_reused; cells and depth are one")
-    n = len(v)
-    d = _dist(v.astype(float)) if n <= MOST else None
+    """Members (size x k) from exactly two of the five knobs.
+
+    Depth stands for the number of cells, so these two exclude each other; so do the two
+    shares. The share of samples used is reached, that of samples used again is not passed,
+    where any number can; a size over the number of samples is that number.
+    """
+    given = {k for k, x in dict(size=size, n_cells=n_cells, depth=min_median_depth, used=perc_data_to_use, reused=perc_incl_data_reused).items() if x is not None}
+    if len(given) != 2 or given in ({"n_cells", "depth"}, {"used", "reused"}):
+        raise ValueError("give exactly two of size, n_cells, min_median_depth, perc_data_to_use, perc_incl_data_reused; "
+                         "cells and depth exclude each other, and so do the two shares")
+    if not spread and given & {"used", "reused"}:
+        raise ValueError("a share can only be met where reuse is kept small")
+    n, near = len(v), _Near(v)
+    size = min(size, n) if size is not None else None
     k = n_cells if n_cells is not None else int(np.ceil(min_median_depth / depth.mean())) if min_median_depth is not None else None
-    k = min(k, n) if k is not None else None
+    k = max(1, min(k, n)) if k is not None else None
     if size is not None and k is not None:
-        return _groups(d, v, size, k, seed, spread)
-    goal, which = (perc_data_to_use, 0) if perc_data_to_use is not None else (perc_incl_data_reused, 1)
-    lo, hi = 1, n
-    if size is None and k is None:
-        k = max(1, int(round(n * perc_data_to_use / 100 / max(1, n // 10))))
-        goal, which = perc_incl_data_reused, 1
+        return _groups(near(k), representative(v, size, seed), spread)
+    which = 0 if perc_data_to_use is not None else 1
+    goal = perc_data_to_use if perc_data_to_use is not None else perc_incl_data_reused
+    rows = representative(v, size, seed) if size is not None else None
 
     def made(x: int) -> np.ndarray:
-        return _groups(d, v, x, k, seed, spread) if k is not None else _groups(d, v, size, x, seed, spread)
+        return _groups(near(x), rows, spread) if rows is not None else _groups(near(k), representative(v, x, seed), spread)
 
-    while lo < hi:  # both shares grow with the size and with the number of cells
-        mid = (lo + hi) // 2
-        if _shares(made(mid), n)[which] >= goal:
-            hi = mid
-        else:
-            lo = mid + 1
-    return made(lo)
+    return made(_fitted(lambda x: _shares(made(x), n)[which], goal, n, which == 0))
 
 
 def metacell_members(vectors: DataFrame, counts: DataFrame, clusters: DataFrame | None = None, *, scores: DataFrame | None = None,
@@ -195,6 +239,12 @@ def metacell_counts(members: DataFrame, counts: DataFrame) -> DataFrame:
     return members.join(counts, "sample").groupBy("cluster", "metacell", "feature").agg(F.sum("count").alias("count"))
 
 
+def mito_share(counts: DataFrame, by: str = "sample", prefix: str = "MT-") -> DataFrame:
+    """by, percent: the share of counts whose feature starts with ``prefix``."""
+    return counts.groupBy(by).agg(F.coalesce(F.try_divide(
+        100 * F.sum(F.when(F.col("feature").startswith(prefix), F.col("count")).otherwise(0.0)), F.sum("count")), F.lit(0.0)).alias("percent"))
+
+
 def metacell_stats(members: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per cluster: how the samples are used and how deep the metacells are."""
     use = members.groupBy("cluster", "sample").agg(F.count("*").alias("times"))

@@ -204,6 +204,13 @@ SELECT sample, regulator, round(coalesce(sum(w * nes) / nullif(sqrt(sum(w * w) F
         "SELECT sample, regulator, round(coalesce(sum(nes * abs(nes)) / nullif(sum(abs(nes)), 0), 0), 6) AS nes FROM s GROUP BY sample, regulator",
         "viper_narnea": ctes("n3", "m1") + ", e AS (SELECT * FROM m1 WHERE feature IN (SELECT target FROM n3 UNION SELECT regulator FROM n3))" + narnea_ctes("n3", "e", "a")
         + f" SELECT sample, regulator, {_r('nes', 'nes')}, {_r('pes', 'pes')} FROM a WHERE round(nes, 6) > 0",
+        "area_weighted": ctes("cw", "n1", "m1s") + f""", e AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY regulator) AS n1 FROM n1 WHERE target IN (SELECT feature FROM m1s)) WHERE n1 >= 20),
+t AS (SELECT sample, feature, {_avg_rank('value', 'sample')} / (count(*) OVER (PARTITION BY sample) + 1.0::DOUBLE) AS t2 FROM m1s),
+u AS (SELECT *, 2 * abs(t2 - 0.5) AS a FROM t), v AS (SELECT sample, feature, t2, a + (1 - max(a) OVER (PARTITION BY sample)) / 2 AS t1 FROM u),
+z AS (SELECT v.sample AS sample, v.feature AS feature, {mathx.ppf('t2')} AS z2, {mathx.ppf('t1')} AS z1, coalesce(weight, 0) AS w FROM v LEFT JOIN cw ON cw.sample = v.sample AND cw.feature = v.feature),
+s AS (SELECT sample, regulator, sum(likelihood * w * mor * z2) AS d, sum(likelihood * w * (1 - abs(mor)) * z1) AS u, sum(likelihood * w) AS total,
+  sqrt(sum(likelihood * w * likelihood * w)) / nullif(max(likelihood * w), 0) AS size FROM z JOIN e ON feature = target GROUP BY sample, regulator)
+SELECT sample, regulator, round((abs(d) + greatest(u, 0)) * CASE WHEN d < 0 THEN -1 ELSE 1 END / nullif(total, 0) * size, 6) AS nes FROM s""",
         "pleiotropy": pleiotropy_sql(),
         "path_enrich": ctes("m2") + ", " + _STOUFFER + """, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, feature) AS t, row_number() OVER (PARTITION BY cluster ORDER BY score, feature) AS b FROM s),
 net AS (SELECT 'set' || cluster AS regulator, feature AS target, CASE WHEN t <= 20 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS mor, 1.0::DOUBLE AS likelihood FROM k WHERE t <= 20 OR b <= 20),

@@ -136,6 +136,8 @@ QUERIES = {
     "viper_rank_area": lambda d: rounded(E.infer_activity(d.m1, d.net(views.N2), method="rank"), "nes"),
     "viper_two_networks": lambda d: rounded(E.infer_activity(d.m1, [d.net(views.N2), d.net(views.N3)]), "nes"),
     "viper_narnea": lambda d: rounded(E.infer_activity(d.m1, d.net(views.N3), enrichment="narnea"), "nes", "pes").where("nes > 0"),
+    "area_weighted": lambda d: rounded(E.area_weighted(
+        views.spark_view(d.spark, d.sf_dir, views.M1_SPARSE), d.net(views.N1), views.spark_view(d.spark, d.sf_dir, views.CELL_WEIGHTS)), "nes"),
     "stouffer": lambda d: rounded(C.stouffer(d.m2, d.clusters), "score", "pval"),
     "mean_diffs": lambda d: rounded(C.mean_diffs(d.m2, d.clusters), "score", "pval"),
     "median_diffs": lambda d: rounded(C.median_diffs(d.m2, d.clusters), "score"),

@@ -18,6 +18,10 @@ N0 = ("SELECT CAST(l_suppkey AS STRING) AS regulator, CAST(l_partkey AS STRING)
 M1_SPARSE = ("SELECT CAST(c_nationkey AS STRING) AS sample, CAST(l_partkey AS STRING) AS feature, "
              "round(sum(l_extendedprice * (1 - l_discount)), 4) AS value FROM {lineitem} "
              "JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, l_partkey")
+#: Weights of that matrix's cells by part and nation; none for every eleventh part.
+CELL_WEIGHTS = ("SELECT DISTINCT CAST(c_nationkey AS STRING) AS sample, CAST(l_partkey AS STRING) AS feature, "
+                "1.0 - CAST(l_partkey % 7 AS DOUBLE) / 10 - CAST(c_nationkey % 3 AS DOUBLE) / 20 AS weight FROM {lineitem} "
+                "JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey WHERE l_partkey % 11 > 0")
 BRANDS = "SELECT CAST(p_partkey AS STRING) AS id, p_brand || '-' || CAST(p_size AS STRING) AS name FROM {part}"
 ARACNE = ("SELECT CAST(l_suppkey AS STRING) AS regulator, CAST(l_partkey AS STRING) AS target, round(avg(l_extendedprice) / 1000, 6) AS mi, "
           "round(avg(l_discount) - 0.05, 6) AS scc, count(*) AS count FROM {lineitem} GROUP BY l_suppkey, l_partkey")
@@ -42,6 +46,6 @@ M2 = ("SELECT CAST(vec_id AS STRING) AS sample, CAST(i - 1 AS STRING) AS feature
 
 def ctes(*names: str) -> str:
     """A WITH clause of the named views and what they need, for an engine that has the tables as views."""
-    text = {"n1": N1, "n2": N2, "n3": N3, "n0": N0, "m1s": M1_SPARSE, "m1": M1, "m2": M2, "brands": BRANDS, "aracne": ARACNE}
+    text = {"cw": CELL_WEIGHTS, "n1": N1, "n2": N2, "n3": N3, "n0": N0, "m1s": M1_SPARSE, "m1": M1, "m2": M2, "brands": BRANDS, "aracne": ARACNE}
     order = [n for n in text if n in names or (n == "m1s" and "m1" in names)]
     return "WITH " + ", ".join(f"{n} AS ({plain(text[n])})" for n in order)

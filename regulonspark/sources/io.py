@@ -120,9 +120,15 @@ def read_tissue_network(spark: SparkSession, folder: str, tissue: str, cell_type
     return net
 
 
-def write_metacells(counts: DataFrame, path: str) -> None:
-    """One folder of tab-separated files per cluster: metacell, feature, count."""
-    counts.write.mode("overwrite").partitionBy("cluster").option("sep", "\t").option("header", True).csv(path)
+def write_metacells(counts: DataFrame, path: str, kind: str = "tsv") -> None:
+    """One folder per cluster with metacell, feature, count: tab- or comma-separated text, or Parquet."""
+    w = counts.write.mode("overwrite").partitionBy("cluster")
+    if kind == "parquet":
+        w.parquet(path)
+    elif kind in ("tsv", "csv"):
+        w.option("sep", "\t" if kind == "tsv" else ",").option("header", True).csv(path)
+    else:
+        raise ValueError("metacells are written as tsv, csv or parquet")
 
 
 def transfer_obs(result: DataFrame, obs: DataFrame) -> DataFrame:

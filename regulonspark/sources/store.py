@@ -52,12 +52,16 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder, with the writer's ``options``, and read again."""
+def written(df: DataFrame, name: str, *, few: bool = False, **options: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, with the writer's ``options``, and read again.
+
+    With ``few`` its rows are dealt anew over as few files as their size asks for: for
+    results that are small beside the tasks that make them.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with shuffles_dropped(spark):
-        df.write.options(**options).parquet(path)
+        (df.hint("rebalance") if few else df).write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
