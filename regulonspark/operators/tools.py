@@ -10,6 +10,8 @@ from .enrichment import area, narnea
 from .network import Network
 from .pvals import to_pvalues
 
+#: Clusters of a dendrogram at most: their distances are a matrix on the driver.
+MOST_CLUSTERS = 5_000
 #: Kinds of gene names in the order in which they are tried.
 NAME_TYPES = ("mouse_symbol", "human_symbol", "mouse_ensembl", "human_ensembl", "mouse_entrez", "human_entrez")
 
@@ -81,23 +83,29 @@ def pca(vectors: DataFrame, k: int = 50) -> DataFrame:
 def dendrogram(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     """step, a, b, height, size: average linkage of the clusters' mean vectors by correlation distance.
 
-    The means are aggregated in Spark; the linkage of so many clusters is the driver's.
+    The means are aggregated in Spark; the linkage of so many clusters, ``MOST_CLUSTERS`` at most, is the driver's.
     """
     from .sampling import _dist
 
     c = clusters.toDF("sample", "cluster")
+    if c.select("cluster").distinct().limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
+        raise ValueError(f"a dendrogram is of {MOST_CLUSTERS} clusters at most")
     means = vectors.join(c, "sample").select("cluster", F.posexplode("vec").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"))
     rows = means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("cluster").collect()
     names = [str(r["cluster"]) for r in rows]
-    d = _dist(np.array([[x["x"] for x in r["v"]] for r in rows])) ** 2
-    groups = {i: [i] for i in range(len(names))}
-    label = dict(enumerate(names))
     out = []
-    while len(groups) > 1:
-        keys = sorted(groups)
-        h, a, b = min((float(d[np.ix_(groups[x], groups[y])].mean()), x, y) for n, x in enumerate(keys) for y in keys[n + 1 :])
-        new = max(groups) + 1
-        groups[new] = groups.pop(a) + groups.pop(b)
-        label[new] = f"#{len(out)}"
-        out.append((len(out), label[a], label[b], h, len(groups[new])))
+    if len(names) > 1:
+        d = _dist(np.array([[x["x"] for x in r["v"]] for r in rows])) ** 2
+        np.fill_diagonal(d, np.inf)
+        size, age = np.ones(len(names)), np.arange(len(names))  # a new group takes a row of the old ones and is the youngest
+    while len(out) < len(names) - 1:
+        near = np.argwhere(d == d.min())
+        x, y = min((sorted((int(age[i]), int(age[j]))), i, j) for i, j in near)[1:]
+        a, b = (x, y) if age[x] < age[y] else (y, x)
+        out.append((len(out), names[a], names[b], float(d[a, b]), int(size[a] + size[b])))
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a], d[b], d[:, b] = merged, merged, np.inf, np.inf
+        d[a, a] = np.inf
+        size[a] += size[b]
+        names[a], age[a] = f"#{len(out) - 1}", len(names) + len(out)
     return vectors.sparkSession.createDataFrame(out, "step int, a string, b string, height double, size int")

@@ -395,3 +395,13 @@ def test_metacell_members_sums_and_mitochondrial_share(spark):
     assert stats.metacells == 4 and stats.cells_per_metacell == 3 and stats.samples_used == len({r.sample for r in rows})
     share = {r.sample: r.percent for r in S.mito_share(counts).collect()}
     assert share["s0"] == 0 and share["s4"] == pytest.approx(100 * 4 / 8)
+
+
+def test_dendrogram_of_few_and_many_clusters(spark, monkeypatch):
+    f = spark.createDataFrame([("a", [1.0, 2.0, 4.0]), ("b", [2.0, 1.0, 0.0])], "sample string, vec array<double>")
+    c = spark.createDataFrame([("a", "x"), ("b", "y")], "sample string, cluster string")
+    assert [(r.a, r.b, r.size) for r in T.dendrogram(f, c).collect()] == [("x", "y", 2)]
+    assert T.dendrogram(f, c.where("cluster = 'x'")).count() == 0
+    monkeypatch.setattr(T, "MOST_CLUSTERS", 1)
+    with pytest.raises(ValueError):
+        T.dendrogram(f, c)

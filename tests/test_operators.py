@@ -131,5 +131,5 @@ def test_neighbours_and_sampling(spark, matrix):
     assert all(sim[i, j] == pytest.approx(sim[j, i]) for i, j in sim)
 
 
-def test_every_query_has_columns_like_its_sql():
+def test_sql_is_of_registered_queries():
     assert set(registry.oracle_sql()) <= set(registry.queries())
