@@ -39,12 +39,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import ArrayVariable, dense, discard, salted_join, written
+from .work import ArrayVariable, dense, discard, passing, salted_join, written
 
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
-#: Hashed counters of the rarity order, and bits of the filter for lines to fetch.
-COUNTERS, FILTER_BITS = 1 << 20, 1 << 23
+#: Hashed counters of the rarity order.
+COUNTERS = 1 << 20
 #: Lines of more words have the wider sketch; words up to which a line's size is carried exactly in the filters.
 WIDE, SIZED = 80, (1 << 16) - 1
 _BLANKS = "\t\x0b\x0c\r"
@@ -133,13 +133,6 @@ def _candidates(distinct: DataFrame) -> DataFrame:
         rows.alias("x"), (F.col("x.t") == F.col("y.t")) & (F.col("x.a") != F.col("y.a")) & _may_match("x", "y"), "left_semi")
 
 
-def _fetch_bits(names: DataFrame) -> DataFrame:
-    """One array: a bit for every name ``a``."""
-    at = F.pmod("a", F.lit(FILTER_BITS))
-    return dense(names.groupBy(F.shiftright(at, 6).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("v")), FILTER_BITS >> 6)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the later lines of ``pairs`` (a, xa) whose sets are similar enough."""
     own = sets.withColumnRenamed("hs", "own")
@@ -151,9 +144,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _later_matches(lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b of the distinct lines that match an earlier one, from two tables."""
-    found = written(_candidates(distinct), "line-candidates")
-    with ArrayVariable(_fetch_bits(found)) as bits:
-        wanted = F.expr(f"(shiftrightunsigned(get({bits}, cast(pmod(a, {FILTER_BITS}) >> 6 AS int)), cast(pmod(a, {FILTER_BITS}) & 63 AS int)) & 1) = 1")
+    found = written(_candidates(distinct), "line-candidates", few=True)
+    with passing(found, "a") as wanted:
         sets = written(lines.where(wanted).groupBy("a", "b").agg(F.first("hs").alias("hs")), "line-sets")
         rows = written(found.join(distinct.where(wanted).select("a", "place"), "a"), "line-rows")
     discard(found)
@@ -164,12 +156,12 @@ def _later_matches(lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, Da
         met = later.alias("y").join(
             earlier.alias("x"),
             (F.col("x.t") == F.col("y.t")) & (F.col("x.a") != F.col("y.a")) & _may_match("x", "y") & (F.col("x.place") < F.col("y.place")))
-        return written(met.select("y.a", F.col("x.a").alias("xa")).distinct(), "line-pairs")
+        return written(met.select("y.a", F.col("x.a").alias("xa")).distinct(), "line-pairs", few=True)
 
     first = pairs(rows, pivot)
-    settled = written(_verified(first, sets), "line-matches")
+    settled = written(_verified(first, sets), "line-matches", few=True)
     second = pairs(rows.join(settled.select("a"), "a", "left_anti"), rows)
-    others = written(_verified(second, sets), "line-matches")
+    others = written(_verified(second, sets), "line-matches", few=True)
     discard(sets, rows, first, second)
     return settled, others
 
@@ -183,11 +175,11 @@ def line_matches(docs: DataFrame) -> DataFrame:
     total = distinct.agg(F.sum("many")).first()[0] or 0
     judged = written(
         distinct.select("a", "b", "place", "many").join(settled.union(others).withColumn("similar", F.lit(True)), ["a", "b"], "left").where("many > 1 OR similar"),
-        "line-judged")
+        "line-judged", few=True)
     discard(distinct, settled, others)
     met = salted_join(lines.select("doc_id", "text_hash", "line_no", "a", "b"), judged, ["a", "b"], ["doc_id", "line_no"], total)
     gone = met.where(F.coalesce("similar", F.lit(False)) | (F.col("place") < _place()))
-    removed = written(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "line-removed")
+    removed = written(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "line-removed", few=True)
     discard(lines, judged)
     return removed
 

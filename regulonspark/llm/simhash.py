@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import first_rows, row_keys, written
+from .work import discard, first_rows, row_keys, written
 
 SHINGLE = 3
 SEED = 42
@@ -232,7 +232,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     Alternating large-star and small-star rounds. Counts and checksums are all
     that the driver sees.
     """
-    edges = written(edges.where("a <> b").select("a", "b"), name)
+    edges = written(edges.where("a <> b").select("a", "b"), name, few=True)
     last = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -246,7 +246,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         met = large.join(low, "a")
         small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), name)
+        before, edges = edges, written(small.where("a <> b").distinct(), name, few=True)
+        discard(before)
 
 
 def _rooted(marked: DataFrame, distance: int) -> DataFrame:
@@ -273,4 +274,5 @@ def keep_first(docs: DataFrame, *, distance: int = DISTANCE, k: int = SHINGLE, s
     are apart unless their texts are near.
     """
     marked = written(fingerprints(docs.select(*row_keys(), "doc_id", "text"), k, seed), "fingerprints")
-    return first_rows(docs, marked.join(_rooted(marked, distance).select("fp", "root"), "fp"))
+    rooted = _rooted(marked, distance).select("fp", "root")
+    return first_rows(docs, written(marked.join(rooted, "fp").select("ka", "kb", "doc_id", "root"), "labels"))

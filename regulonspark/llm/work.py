@@ -1,86 +1,19 @@
-"""Tables written to the folder that all executors and the driver share.
-
-Lineage is cut with written tables only: they outlive any executor, so a lost
-executor costs a re-read and never a recomputation from a vanished copy.
-"""
+"""What the corpus operators share: arrays in session variables, joins that deal heavy keys, row keys."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import discard as discard, fresh_path as fresh_path, release as release, written as written
+
 #: The word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    It is set here only where it is unset and the session runs in one process,
-    as tests do; a cluster without the setting is an error, because a folder of
-    the driver's machine would be out of the executors' reach.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="regulonspark-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/regulonspark/{name}-{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Spark removes the shuffle files of each command run inside as soon as that command has ended.
-
-    Until then they stay, so a task or a stage of a lost executor can run again.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder, with the writer's ``options``, and read again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    with shuffles_dropped(spark):
-        df.write.options(**options).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.stored_at = path
-    return table
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that :func:`written` gave, once all that is made from them is itself written."""
-    for table in tables:
-        _delete(table.sparkSession, table.stored_at)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables written so far; frames that read them stop working."""
-    _delete(spark, f"{shared_dir(spark)}/regulonspark")
-
-
 class ArrayVariable:
     """A session variable with the one array that ``frame`` holds, a constant in the plans that read it.
 
@@ -117,19 +50,24 @@ def dense(rows: DataFrame, size: int, width: int = 1 << 10) -> DataFrame:
 
 #: Keys of more than one in HEAVY of all rows are dealt over SALTS tasks; so there are HEAVY such keys at most.
 HEAVY, SALTS = 4096, 64
+#: Rows of a table that is sent to every executor at most.
+SMALL = 10_000
 
 
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], place: list[str], total: int) -> DataFrame:
     """``rows`` left-joined on ``keys`` with ``table``, without its column ``many``.
 
     ``table``, a written one, has a row per key, and in ``many`` how many rows of all
-    ``total`` have the key. Heavy keys are repeated for every salt; a row's salt is a hash of its
-    columns ``place``, so it is the same if a task runs again.
+    ``total`` have the key. It is broadcast if it has few rows. Else heavy keys are repeated for every salt; a row's salt
+    is a hash of its columns ``place``, so it is the same if a task runs again.
     """
+    if table.count() <= SMALL:
+        return rows.join(F.broadcast(table.drop("many")), keys, "left")
     hot = F.broadcast(table.where(F.col("many") * HEAVY >= total).select(*keys, F.lit(True).alias("_hot")))  # HEAVY rows at most
     mine = F.when(F.col("_hot"), F.pmod(F.xxhash64(*place), F.lit(SALTS))).otherwise(0).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))
-    dealt = table.drop("many").join(hot, keys, "left").withColumn("_salt", every).drop("_hot")
+    # (merged, as Spark would judge the table by the size of its compressed file)
+    dealt = table.drop("many").join(hot, keys, "left").withColumn("_salt", every).drop("_hot").hint("merge")
     return rows.join(hot, keys, "left").withColumn("_salt", mine).drop("_hot").join(dealt, [*keys, "_salt"], "left").drop("_salt")
 
 
@@ -144,11 +82,32 @@ def row_keys() -> list:
     return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "ka"), (2, "kb"))]
 
 
+#: Bits of the filter that keeps most rows out of a join.
+FILTER_BITS = 1 << 23
+
+
+@contextlib.contextmanager
+def passing(names: DataFrame, column: str):
+    """A condition on the hashes ``column`` (longs) that holds for all of ``names``, and for few others while they are not too many."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    with ArrayVariable(dense(names.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("v")), FILTER_BITS >> 6)) as bits:
+        yield F.expr(f"(shiftrightunsigned(get({bits}, cast(pmod({column}, {FILTER_BITS}) >> 6 AS int)), cast(pmod({column}, {FILTER_BITS}) & 63 AS int)) & 1) = 1")
+
+
 def first_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each root of ``labels`` (ka, kb, doc_id, root): the smallest id, null ids last."""
+    """One row of ``docs`` for each root of ``labels``, a written table (ka, kb, doc_id, root): the smallest id, null ids last.
+
+    Rows that are surely kept and not repeated pass a filter and stay where they are;
+    the others meet the list of kept rows. (A variable's value is in the plan from the
+    start, so the frame may be used when the variable is gone.)
+    """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ka", "kb")
-    kept = labels.groupBy("root").agg(F.min(place).alias("at")).select("at.ka", "at.kb")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    met = docs.select(*row_keys(), F.struct(*names).alias("row")).join(kept, ["ka", "kb"], "left_semi")
-    one = met.groupBy("ka", "kb").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return one.select("row.*")
+    kept = written(labels.groupBy("root").agg(F.min(place).alias("at")).select("at.ka", "at.kb"), "kept", few=True)
+    once = labels.groupBy("ka", "kb").agg(F.count("*").alias("times"))
+    doubtful = once.join(kept.withColumn("kept", F.lit(True)), ["ka", "kb"], "left").where("times > 1 OR kept IS NULL")
+    rows = docs.select(*row_keys(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    with passing(doubtful.select("ka"), "ka") as may:
+        sure, rest = rows.where(~may), rows.where(may)
+    one = rest.join(kept, ["ka", "kb"], "left_semi").groupBy("ka", "kb").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return sure.select("row.*").union(one.select("row.*"))
