@@ -3,16 +3,23 @@
 One interpolated Kneser-Ney model per language over the characters of words
 (lower-cased letters, with marks for the start and the end of a word).
 Grams of each order are hashed to 64 bits and kept in one sorted array per
-order, with the log-probability under every language beside it; a second
-sorted array holds the back-off weights of the contexts. A text's score under
-a language is its cross-entropy in nats per letter; the lowest wins. Each
-model keeps a share of its sample back to learn how its own texts score; texts
-far above that for their length are rejected.
-
-The models are fitted on a bounded sample: ``sample_docs`` documents per
-language, drawn by hash from those of at most ``sample_chars`` characters (so
-at most their product per language, and the ``max_languages`` most frequent
-labels). Predictions are made for all documents over their whole texts.
+order; beside each lie the languages that have it, with their log-probabilities.
+A second sorted array holds the back-off weights of the contexts. A text's score under
+a language is its cross-entropy in nats per letter; the lowest wins.
+
+Rejection is calibrated on texts that each model keeps back: the spread of their words
+per letter and the spread between them give the deviation that is usual for a text of
+n letters, sqrt(between^2 + within^2 / n). The limit is as many of these as leave all
+texts kept back well inside, ``REJECT_AT`` at least; for normal deviations that is less
+than one false rejection in a million. Languages with few texts kept back use
+the spreads of all languages together.
+
+The models are fitted on a bounded sample: of each of the ``max_languages`` most frequent
+labels at most ``sample_docs`` documents, drawn by hash, of each at most
+``sample_chars`` characters (of longer ones a part that starts at a place drawn by hash, so that
+labels with long documents only are learnt too), and of all languages together
+``total_chars``. More labels than ``max_languages`` are an error, as those left out could
+never be predicted. Predictions are made for all documents over their whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0,
 and is rejected; so is everything if there is nothing to learn from. Equal
@@ -37,11 +44,11 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 ORDER = 5
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 200
-#: Standard deviations above the usual score at which a text is rejected.
-REJECT_AT = 10.0
+SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS, MAX_LANGUAGES = 400, 20_000, 30_000_000, 200
+#: Least number of usual deviations above the usual score at which a text is rejected, the margin over the texts kept back, and how many of these a language's own spreads need.
+REJECT_AT, MARGIN, ENOUGH = 5.0, 1.5, 12
 #: Bytes of remembered word scores in a task, and the longest word it remembers.
-CACHE_BYTES, CACHED_WORD = 20 << 20, 48
+CACHE_BYTES, CACHED_WORD = 8 << 20, 48
 #: Characters that are scored at once.
 _LONG = 1 << 20
 
@@ -108,7 +115,7 @@ def fit_language(words: list[str], order: int = ORDER) -> dict:
             total, kinds = counts.sum(), len(counts)
             model["unknown"] = float(np.log(d * kinds / total / 65536)) if total else -20.0
             p = np.maximum(counts - d, 0) / total + np.exp(model["unknown"]) if total else counts * 1.0
-            model["grams"].append((keys, np.log(p), keys, keys))
+            model["grams"].append((keys, np.log(p)))
         else:
             context = hashes[n - 2][at - 1]
             ckeys, inverse = np.unique(context, return_inverse=True)
@@ -118,48 +125,42 @@ def fit_language(words: list[str], order: int = ORDER) -> dict:
             i, hit = _find(lower[0], suffix)
             below = np.where(hit, lower[1][i], np.exp(model["unknown"]))
             p = np.maximum(counts - d, 0) / mass[inverse] + back[inverse] * below
-            model["grams"].append((keys, np.log(p), context, suffix))
+            model["grams"].append((keys, np.log(p)))
             model["contexts"].append((ckeys, np.log(back)))
         lower = (keys, p)
     return model
 
 
+class _Sparse:
+    """A sorted array of hashes, and for each the languages that have it with their values."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        keys = np.concatenate([k for k, _ in parts])
+        langs = np.repeat(np.arange(len(parts), dtype=np.int16), [len(k) for k, _ in parts])
+        order = np.lexsort((langs, keys))
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.starts = np.append(first, len(keys)).astype(np.int64)
+        self.langs, self.values = langs[order], np.concatenate([v for _, v in parts])[order].astype(np.float32)
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in ``keys``, language, value) of all entries of the keys."""
+        at, hit = _find(self.keys, keys)
+        rows = np.flatnonzero(hit)
+        lo, many = self.starts[at[rows]], np.diff(self.starts)[at[rows]]
+        which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(rows, many), self.langs[which], self.values[which]
+
+
 class Models:
     """The models of all languages, side by side."""
 
     def __init__(self, fitted: dict[str, dict], order: int = ORDER):
         self.langs = sorted(fitted)
         self.order = order
-        many = len(self.langs)
         parts = [fitted[x] for x in self.langs]
         self.unknown = np.array([p["unknown"] for p in parts], np.float64)
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in range(1, order + 1):
-            if n > 1:
-                ckeys = np.unique(np.concatenate([p["contexts"][n - 2][0] for p in parts]))
-                back = np.zeros((len(ckeys), many))
-                for k, p in enumerate(parts):
-                    back[np.searchsorted(ckeys, p["contexts"][n - 2][0]), k] = p["contexts"][n - 2][1]
-                self.contexts.append((ckeys, back))
-            every = [np.concatenate([p["grams"][n - 1][j] for p in parts]) for j in (0, 2, 3)]
-            keys, first = np.unique(every[0], return_index=True)
-            if n == 1:
-                logp = np.tile(self.unknown, (len(keys), 1))
-            else:  # a language that has not seen a gram backs off
-                logp = self._below(n - 1, every[2][first]) + self._back(n, every[1][first])
-            for k, p in enumerate(parts):
-                logp[np.searchsorted(keys, p["grams"][n - 1][0]), k] = p["grams"][n - 1][1]
-            self.grams.append((keys, logp))
-
-    def _below(self, n: int, keys: np.ndarray) -> np.ndarray:
-        at, hit = _find(self.grams[n - 1][0], keys)
-        return np.where(hit[:, None], self.grams[n - 1][1][at], self.unknown)
-
-    def _back(self, n: int, contexts: np.ndarray) -> np.ndarray:
-        table, back = self.contexts[n - 2]
-        at, hit = _find(table, contexts)
-        return np.where(hit[:, None], back[at] if len(table) else 0.0, 0.0)
+        self.grams = [_Sparse([p["grams"][n][:2] for p in parts]) for n in range(order)]
+        self.contexts = [_Sparse([p["contexts"][n] for p in parts]) for n in range(order - 1)]
 
     def words(self, words: list[str]) -> np.ndarray:
         """Per word the sum of log-probabilities under each language, and the number of characters (the end counts)."""
@@ -169,16 +170,15 @@ class Models:
         codes, place, owner = _padded(words)
         hashes = _hashes(codes, self.order)
         use = np.flatnonzero(place >= 1)
-        at, hit = _find(self.grams[0][0], hashes[0][use])
-        logp = np.where(hit[:, None], self.grams[0][1][at], self.unknown)
-        for n in range(2, self.order + 1):
+        logp = np.tile(self.unknown, (len(use), 1))
+        for n in range(1, self.order + 1):
             rows = np.flatnonzero(place[use] >= n - 1)
             where = use[rows]
-            table, values = self.grams[n - 1]
-            at, hit = _find(table, hashes[n - 1][where])
-            logp[rows[hit]] = values[at[hit]]
-            rows, where = rows[~hit], where[~hit]
-            logp[rows] += self._back(n, hashes[n - 2][where - 1])
+            if n > 1:  # a language that has not seen the gram backs off
+                at, lang, value = self.contexts[n - 2].entries(hashes[n - 2][where - 1])
+                logp[rows[at], lang] += value
+            at, lang, value = self.grams[n - 1].entries(hashes[n - 1][where])
+            logp[rows[at], lang] = value
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner[use], logp[:, k], len(words))
         out[:, -1] = np.bincount(owner[use], minlength=len(words))
@@ -191,7 +191,7 @@ class Scorer:
     def __init__(self, models: Models):
         self.models = models
         self.width = len(models.langs) + 1
-        self.most = max(2000, min(500_000, CACHE_BYTES // (8 * self.width)))
+        self.most = max(2000, CACHE_BYTES // (8 * self.width))
         self._forget()
 
     def _forget(self) -> None:
@@ -207,17 +207,30 @@ class Scorer:
         self.table[n : n + len(words)] = self.models.words(words)
         self.row.update(zip(words, range(n, n + len(words))))
 
-    def _block(self, lists: list[list[str]]) -> np.ndarray:
+    def _new(self, lists: list[list[str]]) -> list[str]:
         row = self.row
-        new = list(dict.fromkeys(w for words in lists for w in words if w not in row))
-        long = [w for w in new if len(w) > CACHED_WORD]
+        return list(dict.fromkeys(w for words in lists for w in words if w not in row))
+
+    def _block(self, lists: list[list[str]]) -> np.ndarray:
+        new = self._new(lists)
+        if self.row and len(self.row) + len(new) > self.most:
+            self._forget()
+            new = self._new(lists)
+        long = [w for w in new if len(w) > CACHED_WORD]  # learnt last, and not kept
+        if long:
+            self._learn([w for w in new if len(w) <= CACHED_WORD])
         if new:
-            self._learn(new)
+            self._learn(long or new)
+        row = self.row
         out = np.array([self.table[list(map(row.__getitem__, words))].sum(0) if words else np.zeros(self.width) for words in lists])
-        if long or len(row) > self.most:  # long words aren't kept
-            self._forget()
+        for w in long:
+            del row[w]
         return out
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """Per word, the log-probability under each language and the number of characters."""
+        return self.models.words(words)
+
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """Per text, the log-probability sums under each language and the number of characters."""
         total = np.zeros((len(texts), self.width))
@@ -247,24 +260,46 @@ class Scorer:
         return total
 
 
-def calibrate(scorer: Scorer, lang: str, texts: list[str]) -> tuple[float, float, float]:
-    """Usual cross-entropy of a language's own texts, its spread between texts, and its spread within one per character."""
-    k = scorer.models.langs.index(lang)
-    rows = scorer.sums(texts)
-    rows = rows[rows[:, -1] >= 20]
-    if len(rows) < 3:
-        return 3.0, 1.0, 3.0
-    h = -rows[:, k] / rows[:, -1]
-    middle = float(np.median(h))
-    return middle, max(0.05, 1.4826 * float(np.median(np.abs(h - middle)))), 3.0
+def calibrate(scorer: Scorer, kept_back: dict[str, list[str]], reject_at: float = REJECT_AT) -> dict[str, tuple[float, float, float, float]]:
+    """Per language, from its own texts: usual cross-entropy, spread between texts, spread within one per letter, and how many usual deviations are the limit."""
+    found = {}
+    for k, lang in enumerate(scorer.models.langs):
+        h, n, within = [], [], []
+        for text in kept_back.get(lang, ()):
+            if not (words := clean(text)):
+                continue
+            rows = scorer.words(words)
+            letters, own = rows[:, -1], -rows[:, k]
+            if letters.sum() >= 20:
+                h.append(own.sum() / letters.sum())
+                n.append(letters.sum())
+                within.append(((own - h[-1] * letters) ** 2).sum() / letters.sum())
+        if h:
+            middle = float(np.median(h))
+            found[k] = middle, np.array(h) - middle, np.array(n), np.array(within)
+    if not found:
+        return {lang: (3.0, 1.0, 3.0, reject_at) for lang in scorer.models.langs}
+
+    def spreads(parts) -> tuple[float, float]:
+        off, n, within = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        w2 = float(within.mean())
+        return max(0.02, float(np.sqrt(max(0.0, (off * off - w2 / n).mean())))), max(0.1, float(np.sqrt(w2)))
+
+    every, out = spreads(found.values()), {}
+    usual = float(np.median([f[0] for f in found.values()]))
+    for k, lang in enumerate(scorer.models.langs):
+        middle, off, n, _ = found.get(k, (usual, np.zeros(0), np.ones(0), None))
+        between, within = spreads([found[k]]) if len(off) >= ENOUGH else every
+        far = (off / np.hypot(between, within / np.sqrt(n))).max(initial=0.0)
+        out[lang] = middle, between, within, max(reject_at, MARGIN * float(far))
+    return out
 
 
 class Identifier:
-    def __init__(self, models: Models, usual: dict[str, tuple[float, float, float]], reject_at: float = REJECT_AT):
+    def __init__(self, models: Models, usual: dict[str, tuple[float, float, float, float]]):
         self.scorer = Scorer(models)
         self.langs = models.langs
         self.usual = usual
-        self.reject_at = reject_at
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score from 0 to 1, accepted) of each text."""
@@ -279,8 +314,8 @@ class Identifier:
         h = -sums[:-1] / n
         k = int(h.argmin())
         share = 1 / float(np.exp(-np.minimum((h - h[k]) * min(n, 100.0), 700)).sum())
-        middle, between, within = self.usual[self.langs[k]]
-        limit = self.reject_at * float(np.hypot(between, within / np.sqrt(n)))
+        middle, between, within, times = self.usual[self.langs[k]]
+        limit = times * float(np.hypot(between, within / np.sqrt(n)))
         near = 1 / (1 + np.exp(np.clip(4 * ((h[k] - middle) / limit - 1), -30, 30)))
         return self.langs[k], float(share * near), bool(h[k] - middle <= limit)
 
@@ -291,24 +326,28 @@ def doc_residue():
 
 
 def train(
-    labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
-    sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES, reject_at: float = REJECT_AT,
+    labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+    total_chars: int = TOTAL_CHARS, max_languages: int = MAX_LANGUAGES, reject_at: float = REJECT_AT,
 ) -> Identifier:
     """Models of the labels of ``labelled`` (doc_id, text, lang)."""
-    usable = labelled.where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= sample_chars)
-    ).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
     if not counts:
-        return _empty(order, reject_at)
+        return _empty(order)
+    if len(counts) > max_languages:
+        raise ValueError(f"there are more than {max_languages} languages; raise max_languages or relabel the rare ones")
     # a share of each language by hash, some more than needed, of which fit() takes the first by key
     limits = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.2 * sample_docs + 50) / r["count"])))]
     share = F.try_element_at(F.create_map(*limits), F.col("lang"))
     sample = usable.where(F.pmod("key", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    place = (F.pmod(F.shiftrightunsigned("key", 30), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1).cast("int")
+    sample = sample.withColumn("text", F.when(F.length("text") > sample_chars, F.substring("text", place, F.lit(sample_chars))).otherwise(F.col("text")))
+    most = total_chars // len(counts)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "text"]).head(sample_docs)
-        texts = list(group["text"])
+        sizes = group["text"].str.len().cumsum()
+        texts = list(group["text"][(sizes <= most) | (sizes == sizes.iloc[0])])
         back = texts[::5] if len(texts) >= 10 else []
         words = [w for i, t in enumerate(texts) if i % 5 or not back for w in clean(t)]
         model = fit_language(words, order) if words else None
@@ -318,16 +357,15 @@ def train(
     got = {r["lang"]: pickle.loads(r["model"]) for r in rows}
     fitted = {k: m for k, (m, _) in got.items() if m}
     if not fitted:
-        return _empty(order, reject_at)
+        return _empty(order)
     models = Models(fitted, order)
-    scorer = Scorer(models)
-    return Identifier(models, {k: calibrate(scorer, k, got[k][1]) for k in models.langs}, reject_at)
+    return Identifier(models, calibrate(Scorer(models), {k: back for k, (_, back) in got.items()}, reject_at))
 
 
-def _empty(order: int, reject_at: float) -> Identifier:
+def _empty(order: int) -> Identifier:
     models = Models.__new__(Models)
     models.langs, models.order = [], order
-    return Identifier(models, {}, reject_at)
+    return Identifier(models, {})
 
 
 def _judged(batch: pa.RecordBatch, at: int, who: Identifier) -> list[tuple[str, float, bool]]:
