@@ -13,8 +13,9 @@ as many entries as a sequence has tokens, whatever the corpus. On it:
    patterns left and then into new sequences.
 
 The plan maps runs of ranks within a length to runs of sequences. Pieces are
-ranked within their length by (hash bucket, row), so a length that a third of
-all pieces have is dealt over many tasks, and each piece looks its place up.
+ranked within their length by (hash bucket, row), with buckets that follow the most
+frequent length, so one that a third of all pieces have is dealt over many tasks, and
+each piece looks its place up.
 
 Defined results: a null or empty text is the end id alone, one piece of length
 1; repeated rows are packed as rows of their own; an empty table gives an
@@ -29,7 +30,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,10 @@ LENGTH = 4096
 END_ID = 1
 #: Bins of the fit and pieces of a pattern.
 BINS, DEPTH = 128, 3
-#: Hash buckets that the pieces of one length are ranked in.
-BUCKETS = 256
+#: Hash buckets of a length at least, and pieces of one length that are ranked together, about, beyond which there are more.
+BUCKETS, RANKED = 256, 50_000
 #: Words that a task remembers the ids of, and the longest it remembers.
-CACHE, CACHED_WORD = 500_000, 48
+CACHE, CACHED_WORD = 150_000, 48
 #: Characters that are tokenized at once.
 _LONG = 1 << 20
 
@@ -88,9 +89,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -113,6 +113,13 @@ class WordTokenizer:
         core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.known = _Known(core.encode_single_piece)
 
+    @cached_property
+    def full(self):
+        """The library's tokenizer; tasks that meet plain text only never load it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
         if self._plain.fullmatch(text) and "<|" not in text:
@@ -336,12 +343,13 @@ def make_plan(histogram: np.ndarray, length: int = LENGTH, bins: int = BINS, dep
 
 def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
-    cut_ = written(pieces(docs, path=path, length=length, end_id=end_id), "pieces").withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
-    sizes = cut_.groupBy("length", "bucket").count()
+    cut_ = written(pieces(docs, path=path, length=length, end_id=end_id), "pieces")
     histogram = np.zeros(length + 1, np.int64)
     for row in cut_.groupBy("length").count().collect():  # at most ``length`` rows
         histogram[row["length"]] = row["count"]
+    buckets = max(BUCKETS, -(-int(histogram.max()) // RANKED))
+    cut_ = cut_.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    sizes = cut_.groupBy("length", "bucket").count()
     keys, _, first, sequence, offset, copies = make_plan(histogram, length).arrays()
 
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
