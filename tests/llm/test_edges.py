@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from regulonspark.llm import language_id as L, license_scan as S, line_dedup as D, media_sequences as M, mixing as X, near_copies as N, packing as P
-from regulonspark.llm import simhash as H, topk_nra as T, url_filter as U, warc_bundles as B
+from regulonspark.llm import simhash as H, topk_nra as T, url_filter as U, warc_bundles as B, work
 
 CLASH = ["_d", "_h", "removed_lines", "removed", "own", "of", "place", "many", "a", "b", "salt", "key", "size", "taken", "rows", "row", "ka", "kb", "cut", "fp", "root", "node", "_taken", "text_hash", "line_no"]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in CLASH)
@@ -53,7 +53,13 @@ def test_pipeline_stages_take_empty_tables(spark, docs, name):
     assert stage(spark, docs.where("false"), "").count() == 0
 
 
-def test_lines_that_many_documents_share(spark):
+@pytest.fixture(params=[work.SMALL, -1])
+def either_join(request, monkeypatch):
+    """Tables that are broadcast, and the same as if they were too large for it."""
+    monkeypatch.setattr(work, "SMALL", request.param)
+
+
+def test_lines_that_many_documents_share(spark, either_join):
     rows = [(i, f"{ONE}\nline {i} of its own kind w{i} x{i} y{i}", "s") for i in range(400)]
     got = {r.doc_id: r.removed_lines for r in D.dedup_report(table(spark, rows)).collect()}
     assert got == {i: [0] if i else [] for i in range(400)}
@@ -87,7 +93,7 @@ def test_record_ids_name_one_record_each(spark):
     assert got == sorted([(7, "response", None, True)] * 6 + [(None, "revisit", 7, True), (None, "response", None, True), (8, "revisit", 7, True)], key=repr)
 
 
-def test_payloads_that_many_pages_share(spark):
+def test_payloads_that_many_pages_share(spark, either_join):
     pages = spark.range(500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 5 > 0, "").otherwise(F.col("id").cast("string")).alias("html"))
     got = B.read_records(B.write_bundles(pages)).groupBy("record_type", "refers_to").count().collect()
     assert {(r.record_type, r.refers_to): r["count"] for r in got} == {("response", None): 101, ("revisit", 1): 399}
@@ -114,7 +120,7 @@ def test_media_of_pages_are_resolved_where_they_are_known(spark):
     assert sorted((r.page_id, r.pos, r.digest, r.payload_bytes or 0) for r in found) == [(1, 0, "aa", 5), (1, 1, "aa", 5), (1, 2, "b", 0)]
 
 
-def test_urls_that_many_rows_share(spark):
+def test_urls_that_many_rows_share(spark, either_join):
     pages = spark.range(600).select(F.col("id").alias("page_id"), F.expr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'http://a.com/' ELSE concat('http://h', id, '.net/fr/x') END").alias("url"),
                                     F.lit(1).alias("host"), F.lit(2).alias("verdict"))
     got = U.judge_urls(pages, U.rules_frame(spark)).groupBy("rule", "verdict").count().collect()
@@ -126,3 +132,9 @@ def test_urls_that_many_rows_share(spark):
 
 def test_vectors_of_an_empty_table(spark):
     assert T.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_media_that_many_documents_share(spark, either_join):
+    docs = table(spark, [(i, "" if i % 4 else f"text {i}", "s") for i in range(200)])
+    got = M.document_media(docs).groupBy("payload_sha256", "n_bytes").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 50 + [150]
