@@ -6,7 +6,8 @@ is dealt over thousands of ranges; within a range documents are sorted by key,
 the ranges' word counts are summed, and the prefix sums over the ranges of a
 source give each range its offset. Each source is then cut at its exact
 budget: whole epochs first, then the documents in key order; the document at
-the cut gives its leading words. Only DataFrame expressions are used.
+the cut gives its leading words. Only DataFrame expressions are used. Targets are found in
+one task with a row per source; sources are taken to be thousands at most.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null
 source is a source of its own and sorts last; repeated rows are documents of
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .work import WORD, word_count
+from .work import WORD, word_count, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -66,10 +67,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) ->
 
 def mix_plan(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST, seed: str = "mix") -> DataFrame:
     """doc_id, source, mix_key, size, source_size, target, taken for every row of ``docs``."""
-    sized = docs.select(
+    # (a table, so that words are counted once)
+    sized = written(docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("mix_key"),
-    ).withColumn("range", F.substring("mix_key", 1, RANGE_DIGITS))
+    ).withColumn("range", F.substring("mix_key", 1, RANGE_DIGITS)), "mix-sizes")
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("size"))
     targets = source_targets(ranges, weights, share, most)
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
