@@ -49,6 +49,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS, MAX_LANGUAGES = 400, 20_000, 30_000_000,
 REJECT_AT, MARGIN, ENOUGH = 5.0, 1.5, 12
 #: Bytes of remembered word scores in a task, and the longest word it remembers.
 CACHE_BYTES, CACHED_WORD = 8 << 20, 48
+#: Numbers up to which the models are also laid out with a row of all languages for every gram, which is faster to read.
+DENSE = 8 << 20
 #: Characters that are scored at once.
 _LONG = 1 << 20
 
@@ -93,7 +95,7 @@ def clean(text: str) -> list[str]:
 
 
 def fit_language(words: list[str], order: int = ORDER) -> dict:
-    """Sorted arrays of one language: per order the grams, and the contexts with their back-off weights."""
+    """Sorted arrays of one language: per order the grams (with their contexts and suffixes), and the contexts with their back-off weights."""
     codes, place, _ = _padded(words)
     hashes = _hashes(codes, order)
     model: dict = {"grams": [], "contexts": []}
@@ -115,7 +117,7 @@ def fit_language(words: list[str], order: int = ORDER) -> dict:
             total, kinds = counts.sum(), len(counts)
             model["unknown"] = float(np.log(d * kinds / total / 65536)) if total else -20.0
             p = np.maximum(counts - d, 0) / total + np.exp(model["unknown"]) if total else counts * 1.0
-            model["grams"].append((keys, np.log(p)))
+            model["grams"].append((keys, np.log(p), keys, keys))
         else:
             context = hashes[n - 2][at - 1]
             ckeys, inverse = np.unique(context, return_inverse=True)
@@ -125,7 +127,7 @@ def fit_language(words: list[str], order: int = ORDER) -> dict:
             i, hit = _find(lower[0], suffix)
             below = np.where(hit, lower[1][i], np.exp(model["unknown"]))
             p = np.maximum(counts - d, 0) / mass[inverse] + back[inverse] * below
-            model["grams"].append((keys, np.log(p)))
+            model["grams"].append((keys, np.log(p), context, suffix))
             model["contexts"].append((ckeys, np.log(back)))
         lower = (keys, p)
     return model
@@ -161,6 +163,35 @@ class Models:
         self.unknown = np.array([p["unknown"] for p in parts], np.float64)
         self.grams = [_Sparse([p["grams"][n][:2] for p in parts]) for n in range(order)]
         self.contexts = [_Sparse([p["contexts"][n] for p in parts]) for n in range(order - 1)]
+        self.tables = self.backs = None
+        if sum(len(x.keys) for x in self.grams + self.contexts) * len(self.langs) <= DENSE:
+            self._lay_out(parts)
+
+    def _lay_out(self, parts: list[dict]) -> None:
+        """A row of all languages for every gram and context, where these are few: a language that lacks a gram has its back-off there."""
+        many = len(self.langs)
+        self.tables, self.backs = [], []
+        for x in self.contexts:
+            back = np.zeros((len(x.keys), many), np.float32)
+            back[np.repeat(np.arange(len(x.keys)), np.diff(x.starts)), x.langs] = x.values
+            self.backs.append(back)
+        for n, x in enumerate(self.grams, 1):
+            if n == 1:
+                table = np.tile(self.unknown.astype(np.float32), (len(x.keys), 1))
+            else:
+                every, context, suffix = (np.concatenate([p["grams"][n - 1][j] for p in parts]) for j in (0, 2, 3))
+                first = np.unique(every, return_index=True)[1]
+                table = self._rows(n - 1, suffix[first]) + self._back(n, context[first])
+            table[np.repeat(np.arange(len(x.keys)), np.diff(x.starts)), x.langs] = x.values
+            self.tables.append(table)
+
+    def _rows(self, n: int, keys: np.ndarray) -> np.ndarray:
+        at, hit = _find(self.grams[n - 1].keys, keys)
+        return np.where(hit[:, None], self.tables[n - 1][at], self.unknown.astype(np.float32))
+
+    def _back(self, n: int, contexts: np.ndarray) -> np.ndarray:
+        at, hit = _find(self.contexts[n - 2].keys, contexts)
+        return np.where(hit[:, None], self.backs[n - 2][at], np.float32(0)) if len(self.backs[n - 2]) else np.zeros((len(contexts), len(self.langs)), np.float32)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Per word the sum of log-probabilities under each language, and the number of characters (the end counts)."""
@@ -174,6 +205,13 @@ class Models:
         for n in range(1, self.order + 1):
             rows = np.flatnonzero(place[use] >= n - 1)
             where = use[rows]
+            if self.tables is not None:
+                at, hit = _find(self.grams[n - 1].keys, hashes[n - 1][where])
+                logp[rows[hit]] = self.tables[n - 1][at[hit]]
+                if n > 1:
+                    rows, where = rows[~hit], where[~hit]
+                    logp[rows] += self._back(n, hashes[n - 2][where - 1])
+                continue
             if n > 1:  # a language that has not seen the gram backs off
                 at, lang, value = self.contexts[n - 2].entries(hashes[n - 2][where - 1])
                 logp[rows[at], lang] += value

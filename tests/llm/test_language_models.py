@@ -71,7 +71,9 @@ def samples(seed=0):
     return {k: ["".join(rng.choice(p, rng.integers(1, 4))) for _ in range(150)] for k, p in parts.items()}
 
 
-def test_models_are_kneser_ney():
+@pytest.mark.parametrize("dense", [L.DENSE, 0])
+def test_models_are_kneser_ney(monkeypatch, dense):
+    monkeypatch.setattr(L, "DENSE", dense)
     words = samples()
     # no start-of-word gram of a lower order is also inside a word here, as the start has its own mark
     models = L.Models({k: L.fit_language(w, ORDER) for k, w in words.items()}, ORDER)
