@@ -44,6 +44,8 @@ SEED = 42
 DISTANCE = 3
 #: Entries that a bucket has on average, and the most that a task takes from one tile.
 BUCKET, TILE = 4096, 16384
+#: Edges of a file.
+EDGES = 500_000
 #: Members of a node.
 FAN = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -246,7 +248,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         met = large.join(low, "a")
         small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", F.col("m").alias("b")))
-        before, edges = edges, written(small.where("a <> b").distinct(), name, few=True)
+        # (a round never has more than two edges for each before it, so the number of files can follow)
+        before, edges = edges, written(small.where("a <> b").distinct().coalesce(1 + 2 * state[0] // EDGES), name)
         discard(before)
 
 
