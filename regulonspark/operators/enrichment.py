@@ -53,19 +53,24 @@ def ranked(matrix: DataFrame, ordinal: bool) -> DataFrame:
     return mathx.add_ppf(mathx.add_ppf(f, "t2", "z2"), "t1", "z1").select("sample", "feature", "z2", "z1")
 
 
-def _area_of_nets(matrix: DataFrame, nets: Sequence[Network], *, min_targets: int = 30, eset_filter: bool = False, ordinal: bool = False) -> DataFrame:
-    """sample, net, regulator, nes. Samples are ranked once for all networks, unless their filters make the ranks differ."""
-    if eset_filter and len(nets) > 1:
-        return _by_net(nets, lambda net: area(matrix, net, min_targets=min_targets, eset_filter=True, ordinal=ordinal))
-    scores = ranked(_kept_features(matrix, nets[0], eset_filter), ordinal)
-    known = _likely_targets(nets, scores.select("feature").distinct(), min_targets)
+def weighted_edges(nets: Sequence[Network], features: DataFrame, min_targets: int) -> DataFrame:
+    """A table of net, regulator, target, directed, undirected: what each edge counts in the two tails."""
+    known = _likely_targets(nets, features, min_targets)
     of = W.partitionBy("net", "regulator")
     l = F.col("likelihood")
     # repeated pairs are averaged for the weights, and count as they are in the root of the squares
     known = known.withColumn("icp", F.try_divide(F.sqrt(F.sum(l * l).over(of)), F.max(l).over(of)))
     one = known.groupBy("net", "regulator", "target").agg(F.avg("mor").alias("mor"), F.avg(l).alias("likelihood"), F.first("icp").alias("icp"))
     weight = F.try_divide(l, F.sum(l).over(of)) * F.col("icp")
-    edges = written(one.select("net", "regulator", "target", (weight * F.col("mor")).alias("directed"), (weight * (1 - F.abs("mor"))).alias("undirected")), "edges")
+    return written(one.select("net", "regulator", "target", (weight * F.col("mor")).alias("directed"), (weight * (1 - F.abs("mor"))).alias("undirected")), "edges")
+
+
+def _area_of_nets(matrix: DataFrame, nets: Sequence[Network], *, min_targets: int = 30, eset_filter: bool = False, ordinal: bool = False) -> DataFrame:
+    """sample, net, regulator, nes. Samples are ranked once for all networks, unless their filters make the ranks differ."""
+    if eset_filter and len(nets) > 1:
+        return _by_net(nets, lambda net: area(matrix, net, min_targets=min_targets, eset_filter=True, ordinal=ordinal))
+    scores = ranked(_kept_features(matrix, nets[0], eset_filter), ordinal)
+    edges = weighted_edges(nets, scores.select("feature").distinct(), min_targets)
     sums = scores.withColumnRenamed("feature", "target").join(edges, "target").groupBy("sample", "net", "regulator").agg(
         F.sum(F.col("directed") * F.col("z2")).alias("d"), F.sum(F.col("undirected") * F.col("z1")).alias("u"))
     return sums.select("sample", "net", "regulator", ((F.abs("d") + F.greatest("u", F.lit(0.0))) * F.signum("d")).alias("nes"))
