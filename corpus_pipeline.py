@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from regulonspark.llm import language_id, line_dedup, mixing, near_copies, packing
-from regulonspark.llm.work import written
+from regulonspark.llm.work import bounded_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; models are fitted on a bounded sample of ``docs``."""
+    bounded_batches(spark)
     who = language_id.train(docs.where(language_id.doc_residue() != 2))
     return language_id.keep_accepted(docs, who)
 
@@ -26,6 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard 0.8 on five-word shingles): that with the smallest id."""
+    bounded_batches(spark)
     return near_copies.keep_first(docs)
 
 
@@ -36,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -47,8 +47,8 @@ ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS, MAX_LANGUAGES = 400, 20_000, 30_000_000, 200
 #: Least number of usual deviations above the usual score at which a text is rejected, the margin over the texts kept back, and how many of these a language's own spreads need.
 REJECT_AT, MARGIN, ENOUGH = 5.0, 1.5, 12
-#: Bytes of remembered word scores in a task, and the longest word it remembers.
-CACHE_BYTES, CACHED_WORD = 8 << 20, 48
+#: Bytes of remembered word scores in a task, about, bytes that a word takes besides its scores, and the longest word it remembers.
+CACHE_BYTES, WORD_BYTES, CACHED_WORD = 16 << 20, 200, 48
 #: Numbers up to which the models are also laid out with a row of all languages for every gram, which is faster to read.
 DENSE = 8 << 20
 #: Characters that are scored at once.
@@ -184,6 +184,8 @@ class Models:
                 table = self._rows(n - 1, suffix[first]) + self._back(n, context[first])
             table[np.repeat(np.arange(len(x.keys)), np.diff(x.starts)), x.langs] = x.values
             self.tables.append(table)
+        for x in self.grams + self.contexts:  # from here on only the keys are asked
+            del x.starts, x.langs, x.values
 
     def _rows(self, n: int, keys: np.ndarray) -> np.ndarray:
         at, hit = _find(self.grams[n - 1].keys, keys)
@@ -229,7 +231,7 @@ class Scorer:
     def __init__(self, models: Models):
         self.models = models
         self.width = len(models.langs) + 1
-        self.most = max(2000, CACHE_BYTES // (8 * self.width))
+        self.most = max(2000, CACHE_BYTES // (8 * self.width + WORD_BYTES))
         self._forget()
 
     def _forget(self) -> None:

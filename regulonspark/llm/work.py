@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import discard as discard, fresh_path as fresh_path, release as release, written as written
@@ -48,6 +49,22 @@ def dense(rows: DataFrame, size: int, width: int = 1 << 10) -> DataFrame:
     return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "vs"))), lambda x: x["vs"])).alias("vs"))
 
 
+#: Bytes of a batch of rows that a Python worker gets at once; a batch ends with the row that reaches them.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python workers in batches of about ``BATCH_BYTES``, unless it has a smaller bound.
+
+    By number of rows alone (10,000) a batch of documents has tens of MB, which executors and workers hold
+    several times over. A stage's frame runs after the stage has returned, so the setting stays.
+    """
+    now = int(re.match(r"-?\d+", spark.conf.get(_BATCH, None) or "0")[0])
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 #: Keys of more than one in HEAVY of all rows are dealt over SALTS tasks; so there are HEAVY such keys at most.
 HEAVY, SALTS = 4096, 64
 #: Rows of a table that is sent to every executor at most.

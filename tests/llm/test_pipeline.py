@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from regulonspark.llm import packing as P
+from regulonspark.llm import packing as P, work
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 PARTS = {"aa": ["the", "ing", "er", "on"], "bb": ["que", "ado", "los", "ra"]}
@@ -157,3 +158,23 @@ def test_run_is_all_stages_in_order(spark, stages):
 
     assert Counter(map(place, got)) == Counter(map(place, made["packing"]))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash", "mixing", "packing"]
+
+
+@pytest.mark.parametrize("stage", ["language_id", "simhash", "packing"])
+def test_python_stages_bound_their_batches(spark, stage, tmp_path):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["rows", "bytes"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    long = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('word and word ', 500) AS text")
+    docs = spark.createDataFrame(rows()[:20], DOCS)
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    got = long.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) < 2 * work.BATCH_BYTES
+
+    spark.conf.set(setting, "1000")  # a smaller bound stays
+    work.bounded_batches(spark)
+    assert spark.conf.get(setting) == "1000"
+    spark.conf.unset(setting)
