@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import ArrayVariable, dense, discard, passing, salted_join, written
+from .work import ArrayVariable, dense, discard, passing, salted_join, session_setting, written
 
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
@@ -47,6 +47,8 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 20
 #: Lines of more words have the wider sketch; words up to which a line's size is carried exactly in the filters.
 WIDE, SIZED = 80, (1 << 16) - 1
+#: Columns in which values hardly repeat are written without a dictionary.
+_PLAIN = "parquet.enable.dictionary#"
 _BLANKS = "\t\x0b\x0c\r"
 _HASH = (1 << 56) - 1
 
@@ -91,14 +93,18 @@ def _place(prefix: str = ""):
 
 def _distinct(lines: DataFrame, levels: str) -> DataFrame:
     """a, b of every distinct line with words; place (of the first), many (equal lines), n, lo, hi (its parity sketch), p (its prefix)."""
-    # (never null, so that Spark sorts plain longs)
-    ranked = F.expr(f"sort_array(transform(hs, h -> shiftleft(cast(coalesce(get({levels}, cast(h & {COUNTERS - 1} AS int)), 0Y) AS bigint), 56) | h))")
-    fold = "aggregate(hs, 0L, (s, h) -> s ^ shiftleft(1L, cast(h & 63 AS int)))"
+    # (Lambdas are interpreted node by node, so theirs are short: powers of two are looked up. The second step asks for ``ranked`` twice,
+    # which keeps the sort out of a lambda's argument; ranks are never null, so that it sorts plain longs.)
+    ranked = F.expr(f"sort_array(transform(hs, h -> coalesce(shiftleft(cast({levels}[h & {COUNTERS - 1}L] AS bigint), 56) | h, 0L)))")
+    powers = f"array({', '.join(f'{1 << k}L' for k in range(63))}, shiftleft(1L, 63))"
+    fold = f"aggregate(hs, 0L, (s, h) -> s ^ {powers}[h & 63L])"
     half = "aggregate(hs, 0L, (s, h) -> s ^ shiftleft(shiftrightunsigned(h, 6) & 1L, cast(h & 63 AS int)))"
-    sets = lines.where(F.size("hs") > 0).select(
-        "a", "b", _place().alias("place"), F.size("hs").alias("n"), F.expr(fold).alias("fold"),
-        F.when(F.size("hs") > WIDE, F.expr(half)).otherwise(F.lit(0).cast("long")).alias("hi"),
-        F.transform(F.slice(ranked, F.lit(1), F.size("hs") - F.ceil(F.size("hs") * NUM / DEN).cast("int") + 1),
+    ordered = lines.where(F.size("hs") > 0).select(
+        "a", "b", _place().alias("place"), F.expr(fold).alias("fold"),
+        F.when(F.size("hs") > WIDE, F.expr(half)).otherwise(F.lit(0).cast("long")).alias("hi"), ranked.alias("ranked"))
+    sets = ordered.select(
+        "a", "b", "place", F.size("ranked").alias("n"), "fold", "hi",
+        F.transform(F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(F.size("ranked") * NUM / DEN).cast("int") + 1),
                     lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")).alias("p"))
     return sets.groupBy("a", "b").agg(
         F.min("place").alias("place"), F.count("*").alias("many"), F.first("n").alias("n"),
@@ -168,9 +174,11 @@ def _later_matches(lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, Da
 
 def line_matches(docs: DataFrame) -> DataFrame:
     """A table of doc_id, text_hash, removed_lines (numbers from 0, in order) of every document that loses lines."""
-    lines = written(_lines(docs.select("doc_id", "text")), "line-words", **{"compression": "zstd", "parquet.enable.dictionary#hs.list.element": "false"})
-    with ArrayVariable(_levels(lines), "TINYINT") as levels:
-        distinct = written(_distinct(lines, levels), "line-distinct", compression="zstd")
+    lines = written(_lines(docs.select("doc_id", "text")), "line-words", **{"compression": "zstd", **dict.fromkeys((f"{_PLAIN}{c}" for c in ("a", "b", "hs.list.element")), "false")})
+    with session_setting(docs.sparkSession, "spark.sql.codegen.aggregate.fastHashMap.capacityBit", str(COUNTERS.bit_length() - 1)):
+        counted = ArrayVariable(_levels(lines), "TINYINT")  # (all counters of a task fit into its first map)
+    with counted as levels:
+        distinct = written(_distinct(lines, levels), "line-distinct", **{"compression": "zstd", **dict.fromkeys((f"{_PLAIN}{c}" for c in ("a", "b", "lo", "p.list.element")), "false")})
     settled, others = _later_matches(lines, distinct)
     total = distinct.agg(F.sum("many")).first()[0] or 0
     judged = written(

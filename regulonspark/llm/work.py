@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import discard as discard, fresh_path as fresh_path, release as release, written as written
+from ..sources.store import discard as discard, fresh_path as fresh_path, release as release, session_setting as session_setting, written as written
 
 #: The word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

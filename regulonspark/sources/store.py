@@ -38,20 +38,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Spark removes the shuffle files of each command run inside as soon as that command has ended.
-
-    Until then they stay, so a task or a stage of a lost executor can run again.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def session_setting(spark: SparkSession, key: str, value: str):
+    """``key`` is ``value`` inside, and what it was before afterwards."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def shuffles_dropped(spark: SparkSession):
+    """Spark removes the shuffle files of each command run inside as soon as that command has ended.
+
+    Until then they stay, so a task or a stage of a lost executor can run again.
+    """
+    return session_setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, name: str, *, few: bool = False, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder, with the writer's ``options``, and read again.
 
